@@ -52,7 +52,6 @@ _INVISIBLE = rf"\p{{Cf}}࢐࢑\U00013430-\U0001343f\x00-\x08\x0e-\x1f\x7f-\x84\x
 _SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x0b\x0c\x85"
 #: Combining marks that form letters with what stands before, and conjoining jamo.
 _MARKS = r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u3099\u309aᄀ-ᇿ"
-_ALPHABETS = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}\p{IsCherokee}\p{IsLisu}"
 
 _JVM_COMPAT = _COMPAT + r"\x{1d400}-\x{1d7ff}\x{1ee00}-\x{1eeff}"
 _JVM_INVISIBLE = _INVISIBLE.replace(r"\U000e0100-\U000e01ef", r"\x{e0100}-\x{e01ef}").replace(r"\U00013430-\U0001343f", r"\x{13430}-\x{1343f}")
@@ -60,13 +59,24 @@ _JVM_INVISIBLE = _INVISIBLE.replace(r"\U000e0100-\U000e01ef", r"\x{e0100}-\x{e01
 #: replaces (angstrom sign and other singletons, compatibility ideographs) are there, too.
 _SINGLETONS = r"ʹ;·άέήίόύώιΐΰ΅`´क़-य़ড়ঢ়য়ਲ਼ਸ਼ਖ਼-ਜ਼ਫ਼ଡ଼ଢ଼གྷཌྷདྷབྷཛྷཀྵ\u2000\u2001ΩKÅ〈〉⫝̸豈-\ufaff"
 UNSTABLE = rf"[{_JVM_COMPAT}{_JVM_INVISIBLE}{_SPACES}{_MARKS}{_SINGLETONS}{PHONETIC}]"
-#: A Latin and another alphabet's letter in one word, or two other alphabets.
-MIXED = "|".join(
-    rf"\p{{Is{a}}}[\p{{L}}\p{{M}}\u1c80-\u1c8f]*[\p{{Is{b}}}\u1c80-\u1c8f]"
-    for a in ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Lisu")
-    for b in ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Lisu")
-    if a != b
+#: Letters of two alphabets side by side. Plain ranges: script properties are looked up by
+#: binary search for each character. Marks between letters are unstable anyway.
+_RANGES = {
+    "Latin": r"A-Za-zªºÀ-ÖØ-öø-ʯᴀ-ᴥᵢ-ᵥᵫ-ᵷᵹ-ᶾḀ-ỿⱠ-ⱿꜢ-ꟿꬰ-ꭤ",
+    "Greek": r"Ͱ-ͳͶͷͻ-ͿΆ-ϡϰ-Ͽἀ-῿",
+    "Cyrillic": r"Ѐ-ԯᲀ-᲏Ꙁ-ꚟ",
+    "Armenian": r"Ա-ֈ",
+    "Cherokee": r"Ꭰ-ᏽꭰ-ꮿ",
+    "Lisu": r"ꓐ-ꓽ",
+}
+_NOT_LATIN = "".join(r for a, r in _RANGES.items() if a != "Latin")
+MIXED = (
+    rf"[{_NOT_LATIN}](?:(?=[{_RANGES['Latin']}])|(?<=[{_RANGES['Latin']}].))|"
+    + "|".join(rf"[{r}](?=[{''.join(q for b, q in _RANGES.items() if b not in (a, 'Latin'))}])" for a, r in _RANGES.items() if a != "Latin")
 )
+#: Texts of only these characters are stable and hold no second alphabet. Few ranges, so that
+#: most texts are done after one cheap look.
+PLAIN = r"[^\t\n\r -~¡-¬®-ıĴ-Ʃ‐-‧、-ゖ゠-ヿ一-鿿]"
 
 _PY_UNSTABLE = UNSTABLE.replace(r"\x{1d400}-\x{1d7ff}\x{1ee00}-\x{1eeff}", "\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff").replace(r"\x{e0100}-\x{e01ef}", "\U000e0100-\U000e01ef").replace(r"\x{13430}-\x{1343f}", "\U00013430-\U0001343f")
 #: An unstable stretch with its context: one character before, the marks after.
@@ -76,16 +86,14 @@ _EMOJI = regex.compile(rf"[\U0001f1e6-\U0001f1ff]{{2}}|[0-9#*]\ufe0f?\u20e3|{_EM
 _COMPAT_RE = regex.compile("[" + _COMPAT + "\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff]+")
 _INVISIBLE_RE = regex.compile(f"[{_INVISIBLE}]+")
 _SPACES_RE = regex.compile(f"[{_SPACES}]")
-_WORD = regex.compile(rf"[{_ALPHABETS}\p{{Mn}}]+".replace("Is", ""))
-_SCRIPTS = {s: regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Lisu")}
+_WORD = regex.compile("[" + "".join(_RANGES.values()) + r"\p{Mn}]+")
+_SCRIPTS = {a: regex.compile(f"[{r}]") for a, r in _RANGES.items()}
 
 
 @lru_cache(maxsize=100_000)
 def _script(c: str) -> str | None:
     if c in PHONETIC:
         return "Phonetic"
-    if ord(c) > 0xFFFF:  # no look-alikes there
-        return None
     return next((s for s, p in _SCRIPTS.items() if p.match(c)), None)
 
 
@@ -157,7 +165,7 @@ def canonical(text: str | None) -> str | None:
 def unstable(c: Column | str) -> Column:
     """Quick check: may the text differ from its canonical form? Never false for one that does."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.rlike(UNSTABLE) | c.rlike(MIXED)
+    return c.rlike(PLAIN) & (c.rlike(UNSTABLE) | c.rlike(MIXED))
 
 
 def canonical_batch(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
