@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from anchorloom.llm.canonical import canonical_records
+from anchorloom.llm.leakage import PASSAGE, item_words, passage_matches, term_counts
 from anchorloom.llm.residue import residue_entries
+from anchorloom.llm.spam import spam_pages
+from anchorloom.llm.tokenizer import decode_documents, encode_documents
 from anchorloom.sources.tables import table
 
 
@@ -27,5 +31,54 @@ def p5_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue_entries(table(spark, d, "sitemap_autolink_entries"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p5_residue": p5_residue}
-ORACLES: dict[str, str] = {}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_documents(table(spark, d, "documents"))
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by language label, and documents whose ids do not decode to their text."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encode_documents(docs)
+    back = decode_documents(ids).withColumnRenamed("text", "decoded")
+    one = docs.join(ids, "doc_id").join(back, "doc_id")
+    return one.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.count_if(F.col("text") != F.col("decoded")).alias("n_broken"))
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return passage_matches(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).where(F.col("best_words") == PASSAGE).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
+def p7_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The index's dictionary: how often each term of the items occurs in the corpus."""
+    terms = item_words(table(spark, d, "eval_items")).select(F.explode("item_words").alias("term")).distinct()
+    return term_counts(table(spark, d, "documents"), terms)
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(spark, table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pages(spark, d).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_residue, p6_ids, p6_counts, p7_found, p7_near, p7_terms, p8_found, p8_pages)}
+
+_WORDS = r"SELECT {0}, regexp_extract_all(lower({1}), '[\p{{L}}\p{{N}}]+') AS w FROM {2} WHERE {1} IS NOT NULL"
+ORACLES = {
+    "p7_found": "WITH d AS (" + _WORDS.format("doc_id", "text", "documents") + "), i AS (" + _WORDS.format("item_id", "item_text", "eval_items") + "), "
+    "dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), "
+    "ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)) "
+    "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p7_terms": "WITH d AS (" + _WORDS.format("doc_id", "text", "documents") + "), i AS (" + _WORDS.format("item_id", "item_text", "eval_items") + "), "
+    "t AS (SELECT DISTINCT unnest(w) AS term FROM i WHERE len(w) >= 12) "
+    "SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) JOIN t USING (term) GROUP BY term",
+}

@@ -86,8 +86,11 @@ def _segments(text: Column, common: Column) -> Column:
         )
         linked = s.rlike(_LINK)
         listed = (F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*")) >= 4) & (n <= 4.0 * F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*"))) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
-        repeated = (n > 0) & (F.size(F.filter(ws, lambda w: F.array_contains(common, w))) >= 0.5 * n)
-        return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (linked | listed | repeated)).alias("stuffed"))
+        # Lines that end without a mark need fewer words of the repeated ones: rows of a product list.
+        hits = F.size(F.filter(ws, lambda w: F.array_contains(common, w)))
+        repeated = (n > 0) & (hits >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.2) * n)
+        code = s.rlike(r"[={}]|\)\s*[:;{]|\w\([^)]*\)")
+        return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (linked | ~code & (listed | repeated))).alias("stuffed"))
 
     return F.transform(F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S")), judge)
 
