@@ -48,7 +48,7 @@ _COMPAT = (
     r"０-９Ａ-Ｚａ-ｚｦ-ﾟﾡ-ￜﬀ-ﬆﬓ-ﬗĲĳǄ-ǌǱ-ǳ"
     r"ℂℇℊ-ℓℕℙ-ℝℤΩℨK-ℭℯ-ℱℳ-ℹⅅ-ⅉⅠ-ⅿ"
 )
-_INVISIBLE = rf"\p{{Cf}}࢐࢑\U00013430-\U0001343f\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\ufe00-\ufe0f\U000e0100-\U000e01ef{BLANKS}"
+_INVISIBLE = rf"\p{{Cf}}\u0890\u0891\U00013430-\U0001343f\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\ufe00-\ufe0f\U000e0100-\U000e01ef{BLANKS}"
 _SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x0b\x0c\x85"
 #: Combining marks that form letters with what stands before, and conjoining jamo.
 _MARKS = r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u3099\u309aᄀ-ᇿ"
@@ -63,8 +63,8 @@ UNSTABLE = rf"[{_JVM_COMPAT}{_JVM_INVISIBLE}{_SPACES}{_MARKS}{_SINGLETONS}{PHONE
 #: binary search for each character. Marks between letters are unstable anyway.
 _RANGES = {
     "Latin": r"A-Za-zªºÀ-ÖØ-öø-ʯᴀ-ᴥᵢ-ᵥᵫ-ᵷᵹ-ᶾḀ-ỿⱠ-ⱿꜢ-ꟿꬰ-ꭤ",
-    "Greek": r"Ͱ-ͳͶͷͻ-ͿΆ-ϡϰ-Ͽἀ-῿",
-    "Cyrillic": r"Ѐ-ԯᲀ-᲏Ꙁ-ꚟ",
+    "Greek": r"Ͱ-ͳͶͷͻ-ͿΆ-ϡϰ-Ͽἀ-\u1fff",
+    "Cyrillic": r"Ѐ-ԯᲀ-\u1c8fꙀ-\ua69f",
     "Armenian": r"Ա-ֈ",
     "Cherokee": r"Ꭰ-ᏽꭰ-ꮿ",
     "Lisu": r"ꓐ-ꓽ",

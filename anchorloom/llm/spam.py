@@ -85,7 +85,7 @@ def _segments(text: Column, common: Column) -> Column:
             | (_count(s, r"[ぁ-ヿ]") > 3) & (_count(s, JA_ENDINGS) >= 1)
         )
         linked = s.rlike(_LINK)
-        listed = (F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*")) >= 4) & (n <= 4.0 * F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*"))) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
+        listed = (F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*")) >= 4) & (n <= 8.0 * F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*"))) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
         # Lines that end without a mark need fewer words of the repeated ones: rows of a product list.
         hits = F.size(F.filter(ws, lambda w: F.array_contains(common, w)))
         repeated = (n > 0) & (hits >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.2) * n)
