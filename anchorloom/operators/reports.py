@@ -81,8 +81,12 @@ def overlap_pairs(terms: DataFrame, entries: DataFrame, rules: DataFrame) -> Dat
     """(phrase, covered_by, same_destination, live): each phrase inside a longer one, on word
     boundaries, once. live: both have a rule. The phrases are the texts and the rules of
     the same scan that posts go through."""
-    won = compile_rules(rules).select("phrase", F.array("url").alias("dest"), F.lit(True).alias("rule"))
-    own = owners(terms, entries, rules).groupBy("phrase").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    # Where a phrase leads: its winner's url, or all its claimants' urls. Sets of urls are
+    # compared by size and digest, so a phrase that very many pages claim is not collected.
+    one = F.struct(F.lit(1).cast("bigint").alias("n"), F.xxhash64("url").alias("digest"), F.col("url").alias("least"))
+    won = compile_rules(rules).select("phrase", one.alias("dest"), F.lit(True).alias("rule"))
+    own = owners(terms, entries, rules).select("phrase", "url").distinct().groupBy("phrase")
+    own = own.agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("url")).alias("digest"), F.min("url").alias("least")).alias("urls"))
     known = own.join(won, "phrase", "full_outer").select("phrase", F.coalesce("dest", "urls").alias("dest"), F.coalesce("rule", F.lit(False)).alias("rule"))
     texts = known.select(F.col("phrase").alias("covered_by"), F.lit(0).alias("node_index"), F.col("phrase").alias("text"))
     hits = scan(texts, known.select("phrase"), ["covered_by"]).where(F.col("phrase") != F.col("covered_by")).select("phrase", "covered_by").distinct()
