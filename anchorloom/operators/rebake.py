@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,8 +29,9 @@ def candidates(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     live = posts.where(F.col("deleted_at").isNull() & F.col("raw").isNotNull())
     if not spellings:
         return live.where(F.lit(False))
-    pattern = "|".join(re.escape(s) for s in spellings)
-    return live.where(F.lower("raw").rlike(pattern))
+    known = F.array(*[F.lit(s) for s in spellings])
+    # The outer array holds the lower-case text, so that it is made once per post.
+    return live.where(F.exists(F.array(F.lower("raw")), lambda raw: F.exists(known, lambda s: F.contains(raw, s))))
 
 
 def batch(posts: DataFrame, phrases: DataFrame, after_id: int = 0, budget: int = 200) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: expression compares each candidate with all claimed spans.
 MANY = 200
 
-_CAND = "struct<rank:int,priority:int,node_index:int,start:int,length:int,phrase:string,url:string>"
+_CAND = "struct<rank:int,priority:int,node_index:int,start:int,length:int,phrase:string,url:string,type:string,own_priority:int,entry_id:bigint>"
 _SPAN = "struct<node_index:int,start:int,stop:int>"
 
 
@@ -65,9 +65,10 @@ def resolve(candidates: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"
     and the limit per url hold per document. The group of a document is as large as its
     text at most.
     """
-    r = rules.select("phrase", "url", F.coalesce("priority", F.lit(0)).alias("rank"))
+    r = rules.select("phrase", "url", "type", F.col("priority").alias("own_priority"), "entry_id")
     full = candidates.join(r, "phrase")
-    cand = F.struct((-F.col("length")).cast("int").alias("rank"), F.col("rank").cast("int").alias("priority"), F.col("node_index").cast("int").alias("node_index"), F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), "phrase", "url")
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    cand = F.struct((-F.col("length")).cast("int").alias("rank"), F.coalesce("own_priority", F.lit(0)).alias("priority"), whole("node_index"), whole("start"), whole("length"), "phrase", "url", "type", "own_priority", "entry_id")
     docs = full.groupBy(*keys).agg(F.array_sort(F.collect_list(cand)).alias("cands"))
 
     @F.pandas_udf(f"array<{_CAND}>")
@@ -75,7 +76,6 @@ def resolve(candidates: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"
         return lists.map(lambda cs: None if cs is None else greedy(list(cs), per_destination, total))
 
     few = F.size("cands") <= MANY
-    small = docs.where(few).withColumn("acc", _expression(F.col("cands"), per_destination, total))
-    large = docs.where(~few).withColumn("acc", arrow("cands"))
-    out = small.unionByName(large).select(*keys, F.explode("acc").alias("a")).select(*keys, "a.node_index", "a.start", "a.length", "a.phrase")
-    return out.join(rules.select("phrase", "url", "type", "priority", "entry_id"), "phrase")
+    accepted = F.when(few, _expression(F.col("cands"), per_destination, total)).otherwise(arrow(F.when(~few, F.col("cands"))))
+    one = docs.select(*keys, F.explode(accepted).alias("a"))
+    return one.select(*keys, "a.node_index", "a.start", "a.length", "a.phrase", "a.url", "a.type", F.col("a.own_priority").alias("priority"), "a.entry_id")

@@ -1,7 +1,18 @@
-"""Every occurrence of every phrase at word boundaries, as a token-anchored join."""
+"""Every occurrence of every phrase at word boundaries.
+
+Boundaries are single characters, so matches start exactly at the starts of tokens. A
+ruleset of proven size becomes a trie of tokens that each Python worker builds once and
+walks over Arrow batches, without a shuffle. A larger one is joined: tokens of all texts
+meet the rules on up to four tokens, and only texts with a hit are looked at again.
+Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,44 +22,97 @@ from anchorloom.functions.text import normalize_text
 # asterisk, angle brackets and dashes do not.
 BOUNDARY = " \t\n\r\u00a0:.;,!?…()[]{}\"„“”«»"
 _CLASS = r"[ \t\n\r\u00a0:.;,!?…()\[\]{}\"„“”«»]"
+
+#: A ruleset is sent to every worker if it has at most so many phrases and characters.
+MAX_SENT_PHRASES, MAX_SENT_CHARS = 200_000, 8_000_000
+#: Tokens of a phrase that form the join key.
+KEY_TOKENS = 4
 _JOIN = "\x01"
+_MATCH = "array<struct<start:int,length:int,phrase:string>>"
+_SPLIT = re.compile("([" + re.escape(BOUNDARY) + "])").split
+
+
+def build_trie(phrases) -> dict:
+    """Nested dicts over token, then separator and token; key None holds the phrase."""
+    root: dict = {}
+    for p in phrases:
+        parts = _SPLIT(p)
+        node = root.setdefault(parts[0], {})
+        for i in range(1, len(parts), 2):
+            node = node.setdefault(parts[i] + parts[i + 1], {})
+        node[None] = p
+    return root
+
+
+def walk(trie: dict, norm: str) -> list[tuple[int, int, str]]:
+    """(start, length, phrase) of all occurrences, in order of start, then length."""
+    parts, out, at = _SPLIT(norm), [], 0
+    n = len(parts)
+    for i in range(0, n, 2):
+        node, j = trie.get(parts[i]), i
+        while node is not None:
+            p = node.get(None)
+            if p is not None:
+                out.append((at, len(p), p))
+            j += 2
+            if j >= n:
+                break
+            node = node.get(parts[j - 1] + parts[j])
+        at += len(parts[i]) + 1
+    return out
+
+
+#: The trie of the ruleset in use, in each Python worker.
+_TRIES: dict[str, dict] = {}
+
+
+def _by_trie(base: DataFrame, keys: list[str], phrases: list[str]) -> DataFrame:
+    sent = base.sparkSession.sparkContext.broadcast(phrases)
+
+    mark = uuid.uuid4().hex
+
+    def trie() -> dict:
+        if mark not in _TRIES:
+            _TRIES.clear()
+            _TRIES[mark] = build_trie(sent.value)
+        return _TRIES[mark]
+
+    @F.pandas_udf(_MATCH)
+    def matches(texts: pd.Series) -> pd.Series:
+        t = trie()
+        return texts.map(lambda s: [] if s is None else [{"start": a, "length": n, "phrase": p} for a, n, p in walk(t, s)])
+
+    found = base.select(*keys, "node_index", F.explode(matches("norm")).alias("m"))
+    return found.select(*keys, "node_index", "m.start", "m.length", "m.phrase")
 
 
-def phrase_keys(rules: DataFrame) -> DataFrame:
-    """Rules with the join key: the first token, or the first two of longer phrases."""
-    tokens = F.split("phrase", _CLASS)
-    key = F.when(F.size(tokens) > 1, F.concat(tokens[0], F.lit(_JOIN), tokens[1])).otherwise(tokens[0])
-    return rules.where(F.col("phrase") != "").withColumn("key", key).withColumn("length", F.length("phrase"))
+def _by_join(base: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
+    tokens_of = F.split("phrase", _CLASS)
+    r = phrases.select("phrase", F.array_join(F.slice(tokens_of, 1, KEY_TOKENS), _JOIN).alias("key"), F.size(tokens_of).alias("n"))
+    grams = F.transform("tokens", lambda t, i: F.transform(F.sequence(F.lit(1), F.lit(KEY_TOKENS)), lambda k: F.when(i + k <= F.size("tokens"), F.array_join(F.slice("tokens", i + 1, k), _JOIN))))
+    t = base.select(*keys, "node_index", F.split("norm", _CLASS).alias("tokens")).select(*keys, "node_index", F.posexplode(grams).alias("pos", "grams"))
+    t = t.select(*keys, "node_index", "pos", F.explode("grams").alias("key")).where(F.col("key").isNotNull())
+    hits = t.join(r, "key").select(*keys, "node_index", "pos", "phrase", "n")
+    per_node = hits.groupBy(*keys, "node_index").agg(F.collect_list(F.struct("pos", "phrase", "n")).alias("hits"))
+    d = base.join(per_node, [*keys, "node_index"]).withColumn("tokens", F.split("norm", _CLASS))
+    # Equal tokens first; the place in the text is worked out for those only.
+    d = d.withColumn("hits", F.filter("hits", lambda h: F.slice("tokens", h["pos"] + 1, h["n"]) == F.split(h["phrase"], _CLASS)))
+    start = lambda h: F.when(h["pos"] == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice("tokens", F.lit(1), h["pos"]), " ")) + 1)
+    one = d.select(*keys, "node_index", "norm", F.explode(F.transform("hits", lambda h: F.struct(start(h).alias("start"), F.length(h["phrase"]).alias("length"), h["phrase"].alias("phrase")))).alias("m"))
+    one = one.select(*keys, "node_index", "norm", "m.start", "m.length", "m.phrase")
+    return one.where(F.substring("norm", F.col("start") + 1, F.col("length")) == F.col("phrase")).drop("norm")
 
 
-def scan(nodes: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+def scan(nodes: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"], max_phrases: int = MAX_SENT_PHRASES, max_chars: int = MAX_SENT_CHARS) -> DataFrame:  # noqa: B006
     """(*keys, node_index, start, length, phrase), nested and overlapping occurrences included.
 
     ``nodes`` has the keys, node_index and text; keys and node_index identify a row. ``rules``
-    has phrase, normalized. Offsets count code points from 0. Boundaries are single
-    characters, so matches start exactly at token starts: the tokens of all texts meet the
-    rules on their first one or two tokens (the text itself is not in that shuffle), and
-    only texts with a hit are compared in full. The rules are broadcast only where Spark
-    measures them to be small. Texts of fewer than two characters and null texts give nothing.
+    has phrase, normalized and unique. Offsets count code points from 0. Texts of fewer than
+    two characters and null texts give nothing; very long texts are scanned whole.
     """
     base = nodes.where(F.length("text") >= 2).select(*keys, "node_index", normalize_text("text").alias("norm"))
-    both = F.transform("tokens", lambda t, i: F.array(t, F.concat(t, F.lit(_JOIN), F.get("tokens", i + 1))))
-    tokens = base.select(*keys, "node_index", F.split("norm", _CLASS).alias("tokens")).select(*keys, "node_index", F.posexplode(both).alias("pos", "pair"))
-    tokens = tokens.select(*keys, "node_index", "pos", F.explode("pair").alias("key")).where(F.col("key").isNotNull())
-    hits = tokens.join(phrase_keys(rules).select("key", "phrase", "length"), "key").select(*keys, "node_index", "pos", "phrase", "length")
-    # As many hits as the text has tokens at most times the rules that share two tokens.
-    per_node = hits.groupBy(*keys, "node_index").agg(F.collect_list(F.struct("pos", "phrase", "length")).alias("hits"))
-    joined = base.join(per_node, [*keys, "node_index"])
-    starts = joined.withColumn("tokens", F.split("norm", _CLASS)).withColumn(
-        "at",
-        F.transform(
-            "hits",
-            lambda h: F.struct(
-                F.when(h["pos"] == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice("tokens", F.lit(1), h["pos"]), " ")) + 1).alias("start"), h["phrase"].alias("phrase"), h["length"].alias("length")
-            ),
-        ),
-    )
-    one = starts.select(*keys, "node_index", "norm", F.explode("at").alias("m")).select(*keys, "node_index", "norm", "m.start", "m.phrase", "m.length")
-    after = F.substring("norm", F.col("start") + F.col("length") + 1, F.lit(1))
-    exact = (F.substring("norm", F.col("start") + 1, F.col("length")) == F.col("phrase")) & ((after == "") | after.rlike(_CLASS))
-    return one.where(exact).select(*keys, "node_index", "start", "length", "phrase")
+    phrases = rules.where(F.col("phrase") != "").select("phrase")
+    size = phrases.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= max_phrases and size["chars"] <= max_chars:
+        return _by_trie(base, keys, [r["phrase"] for r in phrases.collect()])
+    return _by_join(base, keys, phrases)
