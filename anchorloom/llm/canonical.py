@@ -112,8 +112,8 @@ def _one_alphabet(m: regex.Match) -> str:
             own[s] = own.get(s, 0) + 1
     if len(scripts) < 2:
         return word
-    # The alphabet with most letters that only it has; then the most letters; then Latin.
-    order = sorted(scripts, key=lambda s: (s != "Phonetic", own.get(s, 0), scripts[s], s == "Latin"), reverse=True)
+    # The alphabet with most letters that only it has; then one with twice as many as Latin; then Latin.
+    order = sorted(scripts, key=lambda s: (s != "Phonetic", own.get(s, 0), scripts[s] * (2 if s == "Latin" else 1), s == "Latin"), reverse=True)
     for target in dict.fromkeys([*order[:1], "Latin"]):
         out = []
         for c in word:

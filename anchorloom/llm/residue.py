@@ -77,7 +77,7 @@ EVIDENCE = {
         r"(?:お探しの)?(?:ページ|記事|商品|ファイル|ドキュメント|コンテンツ|リンク)(?:が|は)(?:見つかりません|見つかりませんでした|存在しません|ありません|削除されました|表示できません|利用できません)(?:でした)?.*|(?:サーバー|内部|データベース|システム)?(?:内部)?エラー(?:が発生しました)?.*|サーバーエラー.*|問題が発生しました.*|サービス(?:は|が)?(?:一時的に)?(?:利用できません|ご利用いただけません).*",
     ],
     "access": [
-        r"access (?:is |was )?(?:denied|forbidden|restricted|blocked)(?:.{0,20})|access to this (?:page|site|resource|website|content) (?:has been|is|was) (?:denied|blocked|restricted|forbidden)|permission denied|not authori[sz]ed|you (?:do not|don't|are not|aren't|have no|need) (?:have )?(?:permission|access|authori[sz]ed|allowed)(?: .*)?|you(?:'ve| have) been (?:blocked|denied|banned|rate limited)(?: .*)?|(?:sorry, )?you have been blocked",
+        r"access (?:is |was )?(?:denied|forbidden|restricted|blocked)(?: \(?(?:error )?\d{3}\)?|[.!:,] .*)?|access to this (?:page|site|resource|website|content) (?:has been|is|was) (?:denied|blocked|restricted|forbidden)|permission denied|not authori[sz]ed|you (?:do not|don't|are not|aren't|have no|need) (?:have )?(?:permission|access|authori[sz]ed|allowed)(?: .*)?|you(?:'ve| have) been (?:blocked|denied|banned|rate limited)(?: .*)?|(?:sorry, )?you have been blocked",
         r"your (?:ip|ip address|connection|account|network|request|access|device)(?: address)? (?:has been|is|was) (?:temporarily |permanently )?(?:blocked|rate limited|rate-limited|banned|denied|throttled|suspended|flagged|restricted)(?: .*)?|rate limit(?: exceeded| reached)|too many (?:requests|attempts|logins)(?: .*)?",
         r"acceso (?:denegado|restringido|prohibido|no autorizado)|accès (?:refusé|interdit|restreint|non autorisé)|zugriff (?:verweigert|nicht erlaubt|gesperrt)|zugang (?:verweigert|gesperrt)|keine berechtigung|доступ (?:запрещ[её]н|ограничен|закрыт|заблокирован)|(?:brak|odmowa) dostępu|dostęp (?:zabroniony|zablokowany)|アクセス(?:が|は)?(?:拒否|禁止|制限)(?:されました|されています)?.*|アクセス権がありません.*|閲覧権限がありません.*",
         r"(?:please |you must |you need to |you have to )?(?:log|sign) ?in(?:(?: or|,) (?:register|sign ?up|join|create an account))?(?: first)? (?:to|before) (?:continue|see|view|access|read|proceed|use|open|reach|continuing|viewing).*|(?:please )?(?:log|sign) ?in(?: again| required| page| first)?|login(?: required| page| to .*)?|(?:please )?log in(?:[,:] .*)?|authentication required|members? only(?: (?:area|content))?|members? area|subscribers? only|registration required|(?:please )?(?:register|sign up|create an account) to (?:continue|view|see|read|access).*|you (?:must|need to|have to) be (?:logged|signed) in.*|this (?:content|page) is (?:for|only for) (?:members|subscribers).*|subscribe to (?:continue|read|keep reading).*",
