@@ -75,11 +75,13 @@ def passage_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, pass
     spots = work.write(spots.select("term", "item_id", "p"), "spots")
     postings = base.select("doc_id", F.posexplode(words("text")).alias("pos", "term"))
     met = postings.join(spots, "term").groupBy("doc_id", "item_id", (F.col("pos") - F.col("p")).alias("diagonal")).agg(F.collect_set("p").alias("ps"))
-    met = met.where(F.size("ps") >= MEET)
+    # All anchors of an exact phrase meet; only for proximity may one of them be missing.
+    meet = ANCHORS if near >= passage else MEET
+    met = met.where(F.size("ps") >= meet)
     by_item = windows.groupBy("item_id").agg(F.collect_list(F.struct("start", "positions")).alias("windows"))
     cands = met.join(by_item, "item_id").select(
         "doc_id", "item_id", "diagonal",
-        F.transform(F.filter("windows", lambda w: F.size(F.array_intersect(w["positions"], F.col("ps"))) >= MEET), lambda w: w["start"]).alias("starts"),
+        F.transform(F.filter("windows", lambda w: F.size(F.array_intersect(w["positions"], F.col("ps"))) >= meet), lambda w: w["start"]).alias("starts"),
     ).where(F.size("starts") > 0)
     cands = work.write(cands, "candidates")
     # The exact comparison reads only documents that have a candidate.

@@ -44,16 +44,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.count_if(F.col("text") != F.col("decoded")).alias("n_broken"))
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return passage_matches(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).where(F.col("best_words") == PASSAGE).select("doc_id", "item_id")
+    return passage_matches(spark, table(spark, d, "documents"), table(spark, d, "eval_items"), near=PASSAGE).select("doc_id", "item_id")
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d)
+    return passage_matches(spark, table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_terms(spark: SparkSession, d: str) -> DataFrame:
