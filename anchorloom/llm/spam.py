@@ -46,6 +46,8 @@ _WORD = r"[\p{L}\p{M}]+"
 _LINK = r"https?://\S+|www\.\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)|\[url[^\]]*\]|#[\p{L}\p{N}_]+"
 #: Segments end at line breaks and after the end of a sentence.
 _CUT = r"\n+|(?<=[.!?…]['\")\]]?)\s+(?=[\p{Lu}¿¡\"'(\[\p{N}#<])|(?<=[。！？])"
+#: Between the items of a list on one line.
+_ITEM = r"\s[|·•>»]\s|[,;|·•]\s*"
 _ALL_WORDS = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
 
 
@@ -75,24 +77,29 @@ def _segments(text: Column, common: Column) -> Column:
     sentence (few function words, or the same words again and again) and is a link or tag, a
     list of short items, or made of words that the document repeats."""
 
-    def judge(s: Column) -> Column:
-        plain = F.regexp_replace(s, _LINK, " ")
-        ws = F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0))
-        n = F.size(ws).cast("double")
-        again = _share(n - F.size(F.array_distinct(ws)), n)
-        sentence = (
-            (n >= 3) & (_known(ws, _ALL_WORDS) >= 0.09 * n) & (again < 0.3 + 0.002 * n)
-            | (_count(s, r"[ぁ-ヿ]") > 3) & (_count(s, JA_ENDINGS) >= 1)
-        )
-        linked = s.rlike(_LINK)
-        listed = (F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*")) >= 4) & (n <= 8.0 * F.size(F.split(s, r"\s[|·•>»]\s|[,;|·•]\s*"))) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
+    # Each step of the chain holds what the next one needs more than once: inside a lambda
+    # every mention of an expression is a new evaluation.
+    cut = F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S"))
+    one = F.transform(cut, lambda s: F.struct(s.alias("s"), F.regexp_replace(s, _LINK, " ").alias("plain"), s.rlike(_LINK).alias("linked")))
+    two = F.transform(one, lambda x: F.struct(x["s"].alias("s"), x["linked"].alias("linked"), F.regexp_extract_all(x["plain"], F.lit(_WORD), F.lit(0)).alias("ws"), F.size(F.split(x["s"], _ITEM)).alias("items")))
+    three = F.transform(
+        two,
+        lambda x: F.struct(
+            x["s"].alias("s"), x["linked"].alias("linked"), x["items"].alias("items"), F.size(x["ws"]).cast("double").alias("n"), F.size(F.array_distinct(x["ws"])).alias("types"),
+            _known(x["ws"], _ALL_WORDS).alias("function"), F.size(F.filter(x["ws"], lambda w: F.array_contains(common, w))).alias("hits"),
+        ),
+    )
+
+    def judge(x: Column) -> Column:
+        s, n = x["s"], x["n"]
+        sentence = (n >= 3) & (x["function"] >= 0.09 * n) & (n - x["types"] < (0.3 + 0.002 * n) * n) | (_count(s, r"[ぁ-ヿ]") > 3) & (_count(s, JA_ENDINGS) >= 1)
+        listed = (x["items"] >= 4) & (n <= 8.0 * x["items"]) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
         # Lines that end without a mark need fewer words of the repeated ones: rows of a product list.
-        hits = F.size(F.filter(ws, lambda w: F.array_contains(common, w)))
-        repeated = (n > 0) & (hits >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.2) * n)
+        repeated = (n > 0) & (x["hits"] >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.2) * n)
         code = s.rlike(r"[={}]|\)\s*[:;{]|\w\([^)]*\)")
-        return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (linked | ~code & (listed | repeated))).alias("stuffed"))
+        return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (x["linked"] | ~code & (listed | repeated))).alias("stuffed"))
 
-    return F.transform(F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S")), judge)
+    return F.transform(three, judge)
 
 
 def spam_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
