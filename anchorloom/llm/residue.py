@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from anchorloom.functions.urls import squeeze
 from anchorloom.operators.current import current_rows
 from anchorloom.operators.skew import lookup
+from anchorloom.runtime import Workspace
 
 #: A line is boilerplate of its host if it stands beside at least this many different others.
 RECURRENT = 3
@@ -181,10 +182,13 @@ def residue_entries(entries: DataFrame, recurrent: int = RECURRENT, name_words:
         .where(F.col("n") >= recurrent)
         .select("host", "line", F.lit(True).alias("common"))
     )
-    whole = is_evidence(F.col("title"))
-    marked = cut.withColumn("whole", whole).withColumn("marks", F.transform("lines", is_evidence)).where(F.col("whole") | F.exists("marks", lambda m: m))
+    # The patterns run once over each title and, where it has several, over each line. What
+    # holds any evidence is a small part; written, it is not worked out again.
+    marks = F.when(F.size("lines") > 1, F.transform("lines", is_evidence)).otherwise(F.array().cast("array<boolean>"))
+    marked = cut.withColumn("whole", is_evidence(F.col("title"))).withColumn("marks", marks).where(F.col("whole") | F.exists("marks", lambda m: m))
+    marked = Workspace(entries.sparkSession, "residue").write(marked, "marked")
     sure = marked.where(F.col("whole")).select("id", F.col("title").alias("residual"))
-    rest = marked.where(~F.col("whole") & (F.size("lines") > 1))
+    rest = marked.where(~F.col("whole"))
     parts = rest.select("id", "host", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.col("marks").alias("mark"))).alias("pos", "p")).select(
         "id", "host", "pos", "p.line", "p.mark"
     )
