@@ -84,9 +84,13 @@ def passage_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, pass
         F.transform(F.filter("windows", lambda w: F.size(F.array_intersect(w["positions"], F.col("ps"))) >= meet), lambda w: w["start"]).alias("starts"),
     ).where(F.size("starts") > 0)
     cands = work.write(cands, "candidates")
-    # The exact comparison reads only documents that have a candidate.
-    texts = base.join(cands.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("doc_words"))
-    pairs = cands.join(its, "item_id").join(texts, "doc_id")
+    for t in (counts, windows, spots):
+        work.drop(t)
+    # The exact comparison reads only documents that have a candidate, each once: its
+    # candidates, no more than its length allows, travel to the text and not the other way.
+    per_doc = cands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "starts")).alias("cands"))
+    texts = base.join(per_doc, "doc_id").select("doc_id", words("text").alias("doc_words"), F.explode("cands").alias("c"))
+    pairs = texts.select("doc_id", "doc_words", "c.*").join(its, "item_id")
     doc_at = lambda i: F.get("doc_words", i + F.col("diagonal"))
     # One comparison per item position on the diagonal, then a sum per window.
     equal = F.transform(F.col("item_words"), lambda w, i: F.when((i + F.col("diagonal") >= 0) & (doc_at(i) == w), 1).otherwise(0))
