@@ -50,6 +50,7 @@ def hierarchy(spark: SparkSession, links: DataFrame, children_per_task: int = CH
     owners = fan.join(base.select("id"), "id").select(F.col("id").alias("parent"), F.col("salts").alias("p_salts"))
     nodes = lookup(nodes, owners, ["parent"], "left", spread="id")
     nodes = work.write(nodes.withColumn("p_salt", F.pmod(F.xxhash64("id"), F.coalesce("p_salts", F.lit(1))).cast("int")), "nodes")
+    work.drop(base)
     root = F.col("p_salts").isNull()
     edges = nodes.where(~root).select("id", "parent", "p_salt", "salts")
     level = nodes.where(root).select("id", "parent", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("path"), "salts")

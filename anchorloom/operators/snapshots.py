@@ -132,6 +132,7 @@ def snapshot_changes(spark: SparkSession, snapshots: DataFrame, sync_runs: DataF
     )
     leaves = work.write(leaves, "leaves")
     differing = work.write(differing_leaves(leaves, runs, bits), "differing")
+    work.drop(leaves)
     rows_in = _sides(states.select("run_id", "url", "title", _leaf("key_hash", bits).alias("node")), runs).join(
         differing, ["pair", "node"], "left_semi"
     )
