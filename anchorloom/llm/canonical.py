@@ -40,6 +40,9 @@ _FROM_LATIN: dict[str, dict[str, str]] = {}
 for _c, _latin in _TO_LATIN.items():
     _FROM_LATIN.setdefault(unicodedata.name(_c).split()[0].title(), {}).setdefault(_latin, _c)
 
+#: Characters on either side of a word that tell which alphabet its text is written in.
+CONTEXT = 40
+
 # --- Rules --------------------------------------------------------------------------
 #: Compatibility letters: full-width letters and digits, half-width kana and hangul, ligatures,
 #: letter-like signs, mathematical alphabets, Roman numerals, digraphs. Signs with a look of
@@ -112,8 +115,10 @@ def _one_alphabet(m: regex.Match) -> str:
             own[s] = own.get(s, 0) + 1
     if len(scripts) < 2:
         return word
-    # The alphabet with most letters that only it has; then one with twice as many as Latin; then Latin.
-    order = sorted(scripts, key=lambda s: (s != "Phonetic", own.get(s, 0), scripts[s] * (2 if s == "Latin" else 1), s == "Latin"), reverse=True)
+    # The alphabet with most letters that only it has; then that of the surrounding text.
+    near = m.string[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]
+    around = {s: sum(_script(c) == s for c in near) for s in scripts}
+    order = sorted(scripts, key=lambda s: (s != "Phonetic", own.get(s, 0), around[s], s == "Latin"), reverse=True)
     for target in dict.fromkeys([*order[:1], "Latin"]):
         out = []
         for c in word:

@@ -94,7 +94,7 @@ def passage_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, pass
     doc_at = lambda i: F.get("doc_words", i + F.col("diagonal"))
     # One comparison per item position on the diagonal, then a sum per window.
     equal = F.transform(F.col("item_words"), lambda w, i: F.when((i + F.col("diagonal") >= 0) & (doc_at(i) == w), 1).otherwise(0))
-    scored = pairs.withColumn("equal", equal).withColumn(
-        "best", F.array_max(F.transform("starts", lambda s: F.aggregate(F.slice(F.col("equal"), s + 1, F.lit(passage)), F.lit(0), lambda a, x: a + x)))
-    )
+    windowed = lambda e: F.array_max(F.transform("starts", lambda s: F.aggregate(F.slice(e, s + 1, F.lit(passage)), F.lit(0), lambda a, x: a + x)))
+    # As an element of an array the comparison is made once, not once per window.
+    scored = pairs.withColumn("best", F.transform(F.array(equal), windowed)[0])
     return scored.where(F.col("best") >= near).groupBy("doc_id", "item_id").agg(F.max("best").alias("best_words"))

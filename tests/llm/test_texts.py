@@ -17,7 +17,7 @@ from anchorloom.llm.tokenizer import PATTERN, TokenAutomaton, decode_documents,
 
 CASES = [
     ("Ｂｅｎｃｈ ６２", "Bench 62"), ("ﬁne ﬀ", "fine ff"), ("étau が", "étau が"), ("a​b­c﻿", "abc"), ("a b c　d", "a b c d"), ("Pаtϲһ", "Patch"), ("Kiln", "Kiln"),
-    ("Міⅼⅼѕ", "Mills"), ("сoсна", "сосна"), ("e​́", "é"), ("\U0001d40bathe", "Lathe"),
+    ("Calibrating a Pug Міⅼⅼѕ", "Calibrating a Pug Mills"), ("пpeсc для cидрa", "пресс для сидра"), ("bow saw кіtѕ", "bow saw kits"), ("сoсна", "сосна"), ("e​́", "é"), ("\U0001d40bathe", "Lathe"),
 ]
 SAME = ["Ελληνικά and Русский", "naïve café", "™ № ² ½ ③ … “q” – ’", "👩‍🔧 ⚙️ 🇩🇪 1️⃣", "Tシャツ", "tab\there\nline", "", "日本語、です。", "x → y €", "µm"]
 
