@@ -62,6 +62,7 @@ EVIDENCE = {
         r"(?:error|exception|warning|fatal|notice|failure)(?: \d+)?: (?:no such|out of|unexpected|call to|undefined|cannot|can't|could not|couldn't|failed|unable|time-?out|timed out|null|invalid|page not|not found|too many|internal|access|permission|missing|unknown|connection|division by|stack|segmentation|maximum).*",
         r"(?:error|exception|unhandled exception|uncaught exception|failure) in (?:the )?(?:main|view|template|render|worker|request|page|module|script|plugin|database|server|background|event)(?: [\w ]{1,30})?",
         r"(?:unhandled|uncaught) (?:exception|error|rejection|\w+error).*|stack trace.*|traceback .*|segmentation fault.*|kernel panic.*",
+        r"(?:unhandled |uncaught |fatal )?(?:exception|error|warning) in (?:[\w./\\\\-]+\.\w{1,8}|[\w.:>-]+\(.{0,40}\))(?:,? (?:on |at )?(?:line )?:?\d+)?.{0,20}|(?:error|problem|failure|trouble) (?:while |when )?(?:establishing|connecting|loading|processing|reading|opening|parsing|rendering|fetching|retrieving|executing|compiling|resolving) (?:to )?(?:a|an|the|your|this|page|template|data|file|view|request|content|resource)\b.*",
         r"(?:malformed|invalid|bad|illegal|unsupported|unknown|missing) (?:request|parameter|parameters|url|uri|query|argument|arguments|token|id|identifier|page|path|header|host|session|link)",
         rf"this site can't be reached|this page isn't working|(?:the )?connection (?:has )?timed out|(?:server|host|domain) not found|unable to connect|no internet(?: connection)?|err_[a-z_]+|dns_probe_[a-z_]+|request (?:failed|timed out|aborted|blocked)|(?:your )?(?:session|link|token) (?:has )?(?:timed out|expired)(?:[,;.:] .*)?",
         # German, French, Spanish, Russian, Polish, Japanese
@@ -113,7 +114,7 @@ EVIDENCE = {
         r"(?:texto|título) de (?:ejemplo|prueba|relleno|muestra)|página de (?:ejemplo|prueba|muestra)|entrada de (?:ejemplo|prueba)|texte de (?:remplacement|démonstration|test|remplissage|substitution)|(?:faux texte|texte d'exemple|exemple de texte|page d'exemple|exemple de page|page de test|titre d'exemple|texte bidon)|(?:beispiel|muster|test|platzhalter|blind|dummy)-?(?:seite|text|titel|beitrag|eintrag|artikel|überschrift)?|hier steht (?:ein )?(?:text|titel|ihr .*)|(?:пример|образец) (?:текста|страницы|заголовка|записи)|(?:тестовая|тестовый|пробная) (?:страница|текст|запись|заголовок)|(?:рыба-текст|рыба|текст-заполнитель|текст-рыба|заглушка)|привет,? мир|(?:przykładow[aey]|testow[aey]) (?:strona|tekst|wpis|tytuł|treść)|tekst (?:zastępczy|przykładowy|testowy)|witaj,? świecie|(?:サンプル|テスト|ダミー|見本|プレースホルダー)(?:ページ|テキスト|投稿|タイトル|記事)?.{0,4}|hallo,? welt|¡?hola,? mundo|bonjour(?: tout le monde|,? le monde)",
     ],
     "default": [
-        r"(?:untitled|unnamed|no title|no name|no subject|without title)(?:[- _]?\d+|[- ](?:document|page|post|product|entry|file|item|article|draft|note|project)(?:[- ]?\(?\d+\)?)?)?|(?:new|blank|empty|default)(?: (?:page|document|post|product|entry|item|article|tab|title|site|file|record|folder|note))(?: ?\(?\d+\)?)?|(?:page|post|product|item|article|document|entry|site|section|seo|meta|main|sub) ?(?:title|name|heading|headline)(?: (?:here|goes here|\d+))?|title(?: (?:here|goes here|missing|\d+|tag|text))?|(?:document|page|slide|item|product|article|post)[ _-]?\d{1,3}|(?:headline|heading|subject|subtitle)(?: (?:here|goes here|\d+))?|(?:<?)(?:please )?(?:insert|enter|add|type|your|set|edit|write|put|change|choose|provide|replace)(?: (?:your|a|the|page|post|product|site|article|this|meta|seo|item|company|brand|main|own))* (?:title|headline|name|heading|text|content|header|caption|subject|tagline)(?: (?:here|text|now|in here))?(?:>?)|missing title|title (?:not set|missing|unavailable)|no page title|home ?page title|todo",
+        r"(?:untitled|unnamed|no title|no name|no subject|without title)(?:[- _]?\d+|[- ](?:document|page|post|product|entry|file|item|article|draft|note|project)(?:[- ]?\(?\d+\)?)?)?|(?:new|blank|empty|default)(?: (?:page|document|post|product|entry|item|article|tab|title|site|file|record|folder|note))(?: ?\(?\d+\)?)?|(?:page|post|product|item|article|document|entry|site|section|seo|meta|main|sub) ?(?:title|name|heading|headline)(?: (?:here|goes here|\d+))?|title(?: (?:here|goes here|missing|\d+|tag|text))?|(?:document|page|slide|item|product|article|post)[ _-]?\d{1,3}|(?:headline|heading|subject|subtitle)(?: (?:here|goes here|\d+))?|(?:<?)(?:please )?(?:insert|enter|add|type|your|set|edit|write|put|change|choose|provide|replace)(?: (?:your|a|the|page|post|product|site|article|this|meta|seo|item|company|brand|main|own))* (?:title|headline|name|heading|text|content|header|caption|subject|tagline)(?: (?:here|text|now|in here))?(?:>?)|(?:title|name|text|headline|heading|site|page|content|description)? ?\(?(?:please )?(?:change|edit|replace|rename|fill|update|remove) (?:me|this|in|here|title|later|before publishing)\)?|missing title|title (?:not set|missing|unavailable)|no page title|home ?page title|todo",
         r"(?:null|undefined|nan|none|nil|void|n/?a|false|true|empty|unknown|object|\(null\)|\(none\)|\(undefined\)|\(unbekannt\)|\(no title\)|<no title>|\(untitled\)|\(empty\)|\[object object\]|\[object \w+\]|\[native code\]|%s|%d|%@|\?{2,}|-{1,3}|_+|\.{2,}|#n/a|#ref!|#value!|#name\??)(?:(?: ?[-–—|:,/] ?| )(?:null|undefined|nan|none|nil|n/?a|\[object object\]|%s|%d|%@))*",
         r"(?:sans titre|sin título|sin titulo|ohne titel|senza titolo|sem título|bez tytułu|bez nazwy|без названия|без имени|без заголовка|無題|名称未設定|タイトルなし|unbenannt|unbenannte[srn]?|unbetitelt)(?:[ -]?(?:\d+|dokument|seite|document|page|página|documento|документ|страница|dokument|strona|ドキュメント|ページ|のドキュメント|のページ|projekt|datei|artikel))?(?: ?\d+)?|titre de (?:la page|l'article|la fiche|la|votre page)|(?:título|titulo) de (?:la página|la pagina|página|el artículo|la ficha|la entrada)|(?:seiten|artikel|produkt|beitrags)titel(?: .{0,25})?|(?:titel|überschrift|name|text|seitentitel)(?: (?:der seite|des artikels))? (?:hier )?(?:einfügen|eingeben|eintragen|hier|fehlt|ergänzen)|hier (?:titel|text|überschrift) (?:einfügen|eingeben)|(?:insérer|insérez|saisir|saisissez|entrer|entrez|ajouter|ajoutez)(?: (?:le|un|votre|ici le))? (?:titre|texte|nom)(?: .{0,15})?|(?:titre|texte) (?:ici|à remplacer|à compléter|par défaut)|(?:inserte|insertar|introduzca|escriba|añada|inserta|añadir|escribe)(?: (?:el|un|su|tu|aquí el|aquí su))? (?:título|texto|nombre)(?: .{0,15})?|(?:título|texto) (?:aquí|por defecto|predeterminado)|(?:новая|пустая) (?:страница|запись|статья)(?: \d+)?|новый документ(?: \d+)?|(?:заголовок|название) (?:страницы|статьи|записи|документа|здесь)|(?:введите|вставьте|добавьте|укажите) (?:сюда )?(?:заголовок|название|текст)(?: .{0,15})?|(?:nowa|pusta) strona(?: \d+)?|nowy dokument(?: \d+)?|(?:tytuł|nazwa) (?:strony|artykułu|wpisu|tutaj|produktu)|(?:wpisz|wstaw|dodaj|podaj|wprowadź) (?:tutaj |tu )?(?:tytuł|nazwę|tekst)(?: .{0,15})?|(?:neue|leere|unbenannte) seite(?: \d+)?|neues dokument(?: \d+)?|(?:nueva|página) (?:página|en blanco|nueva)(?: \d+)?|nuevo documento(?: \d+)?|(?:nouvelle|page) (?:page|vierge|blanche|sans titre)(?: \d+)?|nouveau document(?: \d+)?|(?:新しい|新規)(?:ページ|ドキュメント|文書|投稿).{0,4}|(?:ページ(?:の)?|記事(?:の)?|文書の)?タイトル(?:を入力|をここに|未設定|を入れて).{0,10}|ページ(?:の)?タイトル",
     ],
@@ -140,13 +141,13 @@ _DECORATION = r"(?iu)[\s,;\-–|]*\((?:ref(?:erence)?|id|code|ray id|incident|re
 
 def plain_title(title: Column | str) -> Column:
     """Lower case, entities resolved, straight apostrophes, no reference numbers."""
-    t = squeeze(title)
+    t = F.lower(squeeze(title))
     # A title may be escaped twice.
     for _ in range(2):
         for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.translate(t, "’‘`´“”„＿\u00a0", "''''\"\"\"_ ")
-    return F.regexp_replace(F.lower(t), _DECORATION, "")
+    return F.regexp_replace(t, _DECORATION, "")
 
 
 def is_evidence(line: Column) -> Column:
@@ -172,7 +173,7 @@ def residue_entries(entries: DataFrame, recurrent: int = RECURRENT, name_words:
     """
     now = current_rows(entries, columns=["url", "title"]).select("id", host_of("url").alias("host"), plain_title("title").alias("title")).where(F.col("title") != "")
     lines = F.filter(F.split("title", _SEPARATOR), lambda s: F.trim(s) != "")
-    cut = now.withColumn("lines", F.transform(lines, F.trim))
+    cut = now.withColumn("lines", F.transform(lines, lambda s: F.trim(s)))
     several = cut.where(F.size("lines") > 1)
     # Boilerplate: a line beside many different others. Evidence itself recurs, too, and is never subtracted.
     counts = (

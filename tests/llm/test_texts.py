@@ -52,7 +52,7 @@ def test_canonical_records(spark):
 
 
 RESIDUE = [
-    "404 Not Found", "Tarnwick | 502 - Bad Gateway", "%%PAGE_TITLE%% Wiring Diagram", "Honey Extractor - {{ page.title }}", "&lt;%= title %&gt;", "Lorem ipsum dolor sit amet - X Shop", "Untitled-3", "New Page 1",
+    "HTTP 410 - Ivernook", "Title (change me)", "Exception in layout.tpl line 92", "Error establishing a database connection (ref 9b9)", "&LT;%= TITLE %&GT;", "404 Not Found", "Tarnwick | 502 - Bad Gateway", "%%PAGE_TITLE%% Wiring Diagram", "Honey Extractor - {{ page.title }}", "&lt;%= title %&gt;", "Lorem ipsum dolor sit amet - X Shop", "Untitled-3", "New Page 1",
     "Please enable JavaScript to view this page", "Включите JavaScript | Rastavel", "Einen Moment bitte...", "error 500: página no encontrada", "Access to this page has been denied - Corvale", "NaN - undefined", "%s - %s",
     "This site can’t be reached", "Application error: a client-side exception has occurred (ref a65d59)", "Velmora | Application error: a client-side exception has occurred", "ページが見つかりません", "Hello {first_name}, meet the Reed Knife", "[Insert title here]",
 ]
