@@ -95,7 +95,7 @@ def _segments(text: Column, common: Column) -> Column:
         sentence = (n >= 3) & (x["function"] >= 0.09 * n) & (n - x["types"] < (0.3 + 0.002 * n) * n) | (_count(s, r"[ぁ-ヿ]") > 3) & (_count(s, JA_ENDINGS) >= 1)
         listed = (x["items"] >= 4) & (n <= 8.0 * x["items"]) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
         # Lines that end without a mark need fewer words of the repeated ones: rows of a product list.
-        repeated = (n > 0) & (x["hits"] >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.2) * n)
+        repeated = (n > 0) & (x["hits"] >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.14) * n)
         code = s.rlike(r"[={}]|\)\s*[:;{]|\w\([^)]*\)")
         return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (x["linked"] | ~code & (listed | repeated))).alias("stuffed"))
 
