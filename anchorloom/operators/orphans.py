@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorloom.operators.current import current_rows
 from anchorloom.operators.skew import lookup
+from anchorloom.runtime import Workspace
 
 #: Reference field of a membership -> table its values are ids of.
 REFERENCES = {"entry_id": "sitemap_autolink_entries", "sitemap_id": "sitemap_autolink_sitemaps"}
@@ -31,7 +32,10 @@ def orphan_references(memberships: DataFrame, parents: dict[str, DataFrame], del
         F.col("created_at").alias("made_at"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), F.col(f).cast("long").alias("ref_id")) for f in fields])).alias("r"),
     ).select("membership_id", "made_at", "r.ref_field", "r.ref_id").where(F.col("ref_id").isNotNull())
-    keys = refs.groupBy("ref_field", "ref_id").agg(F.min("made_at").alias("first_ref"))
+    keys = refs.groupBy("ref_field", "ref_id").agg(F.min("made_at").alias("first_ref"), F.count(F.lit(1)).alias("n"))
+    # One row per distinct reference; read by the anti-join, the test for late parents and
+    # the search for hot keys.
+    keys = Workspace(memberships.sparkSession, "references").write(keys, "keys")
     known, gone = None, None
     for field, table in references.items():
         k = current_rows(parents[table], columns=["created_at"]).select(F.lit(field).alias("ref_field"), F.col("id").alias("ref_id"), F.col("created_at").alias("parent_at"))
@@ -48,7 +52,7 @@ def orphan_references(memberships: DataFrame, parents: dict[str, DataFrame], del
         .select("ref_field", "ref_id", F.lit("late").alias("orphan_cause"), F.col("parent_at").cast("timestamp_ntz").alias("parent_at"))
     )
     suspects = missing.unionByName(late)
-    hit = lookup(refs, suspects, ["ref_field", "ref_id"], spread="membership_id")
+    hit = lookup(refs, suspects, ["ref_field", "ref_id"], spread="membership_id", counted=keys)
     return hit.where(F.col("parent_at").isNull() | (F.col("parent_at") > F.col("made_at").cast("timestamp_ntz"))).select(
         "membership_id", "ref_field", "orphan_cause", F.date_format("made_at", "yyyy-MM").alias("ref_month")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more rows than this and more than 1/HOT_SHARE of the
@@ -13,18 +13,21 @@ HOT_ROWS = 500_000
 HOT_SHARE = 1_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """At most ``HOT_SHARE`` rows ``(*key, salts)``; counted with map-side combine."""
-    counts = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
-    floor = max(hot_rows, total // HOT_SHARE)
-    if total <= floor:
-        return []
-    rows = counts.where(F.col("__n") > floor).limit(HOT_SHARE).collect()
-    return [(*[r[k] for k in keys], math.ceil(r["__n"] / floor) + 1) for r in rows]
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> list[tuple]:
+    """At most ``HOT_SHARE`` rows ``(*key, salts)``.
+
+    One pass, combined on the map side; ``counted`` (keys, n) saves it where the counts are
+    known already. The total comes with the same job.
+    """
+    if counted is None:
+        counted = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation()
+    top = counted.select(*keys, "n").observe(seen, F.sum("n").alias("total")).orderBy(F.desc("n")).limit(HOT_SHARE).collect()
+    floor = max(hot_rows, (seen.get["total"] or 0) // HOT_SHARE)
+    return [(*[r[k] for k in keys], math.ceil(r["n"] / floor) + 1) for r in top if r["n"] > floor]
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Join ``df`` to ``table``, whose ``keys`` are unique, on equally named ``keys``.
 
     Rows of a hot key are spread over several partitions by a salt (hash of
@@ -33,7 +36,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner",
     a broadcast only if the measured size of ``table`` is below its threshold.
     ``how`` is ``inner`` or ``left``. Null keys match nothing. Nothing is dropped.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows, counted)
     if not hot:
         return df.join(table, keys, how)
     spark = df.sparkSession
