@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorloom.functions.filters import active, linkable, safe_url
-from anchorloom.operators.rules import compile_rules, linking_pairs
+from anchorloom.operators.rules import all_rules, compile_rules, linking_pairs
 from anchorloom.operators.scan import scan
-from anchorloom.settings import TERM_STATES
+from anchorloom.settings import TERM_STATES, Settings
 
 
 def duplicate_phrases(terms: DataFrame) -> DataFrame:
@@ -77,6 +77,26 @@ def resolve_collision(terms: DataFrame, entries: DataFrame, wishes: DataFrame) -
     return j.select("term_id", state.alias("new_state"), (state != F.col("state")).alias("changed"))
 
 
+def verify_wishes(spark: SparkSession, terms: DataFrame, entries: DataFrame, wishes: DataFrame, settings: Settings, mappings: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """(phrase, entry_id, accepted, refusal) of wishes (phrase, entry_id).
+
+    The wished states are applied to a copy, the rules compiled anew, and a wish is accepted
+    only if its entry then owns the phrase. Otherwise: not_claimant, override (a mapping owns
+    it), no_rule (a setting, the page or its url rules it out) or outranked. Only accepted
+    wishes should be committed.
+    """
+    states = resolve_collision(terms, entries, wishes).select(F.col("term_id").alias("id"), "new_state")
+    after = terms.join(states, "id").withColumn("state", F.col("new_state")).drop("new_state")
+    won = compile_rules(all_rules(spark, after, entries, settings, list(mappings))).select("phrase", F.col("entry_id").alias("owner"), F.lit(True).alias("rule"))
+    claims = terms.select(F.col("normalized_phrase").alias("phrase"), "entry_id").distinct().withColumn("claim", F.lit(True))
+    j = wishes.select("phrase", "entry_id").join(claims, ["phrase", "entry_id"], "left").join(won, "phrase", "left")
+    refusal = (
+        F.when(F.col("claim").isNull(), "not_claimant").when(F.col("owner") == F.col("entry_id"), None)
+        .when(F.col("rule").isNull(), "no_rule").when(F.col("owner").isNull(), "override").otherwise("outranked")
+    )
+    return j.withColumn("refusal", refusal).select("phrase", "entry_id", F.col("refusal").isNull().alias("accepted"), "refusal")
+
+
 def overlap_pairs(terms: DataFrame, entries: DataFrame, rules: DataFrame) -> DataFrame:
     """(phrase, covered_by, same_destination, live): each phrase inside a longer one, on word
     boundaries, once. live: both have a rule. The phrases are the texts and the rules of

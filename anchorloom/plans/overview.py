@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorloom.functions.filters import active
 from anchorloom.operators import listing, reports
-from anchorloom.plans.fixture import MAPPINGS, SETTINGS
+from anchorloom.plans.fixture import MAPPINGS, SETTINGS, VIEWS
 from anchorloom.plans.linking import RULES, _SAFE, every_rule, hits_sql
 from anchorloom.settings import TERM_STATES
 from anchorloom.sources.catalog import Catalog
@@ -62,6 +62,22 @@ def resolve_collision(c: Catalog) -> DataFrame:
     return reports.resolve_collision(c.terms, c.entries, wishes)
 
 
+_WISHED = (
+    VIEWS + ", wi AS (SELECT t.normalized_phrase AS phrase, max(t.entry_id) AS entry_id FROM t JOIN e ON e.id = t.entry_id GROUP BY ALL HAVING count(DISTINCT t.entry_id) > 1), "
+    "t2 AS (SELECT t.* REPLACE (CASE WHEN wi.entry_id IS NULL THEN t.state WHEN wi.entry_id = t.entry_id THEN 'approved' ELSE 'disabled' END AS state) FROM t LEFT JOIN wi ON wi.phrase = t.normalized_phrase)"
+    + RULES[len(VIEWS) :].replace("FROM t JOIN e", "FROM t2 AS t JOIN e")
+)
+
+
+@query(
+    _WISHED + "SELECT wi.phrase, wi.entry_id, coalesce(rs.entry_id = wi.entry_id, false) AS accepted, CASE WHEN rs.entry_id = wi.entry_id THEN NULL WHEN rs.url IS NULL THEN 'no_rule' WHEN rs.entry_id IS NULL THEN 'override' ELSE 'outranked' END AS refusal "
+    "FROM wi LEFT JOIN rs ON rs.phrase = wi.phrase"
+)
+def verify_wishes(c: Catalog) -> DataFrame:
+    wishes = collision_candidates(c).groupBy("phrase").agg(F.max("entry_id").alias("entry_id"))
+    return reports.verify_wishes(c.spark, c.terms, c.entries, wishes, SETTINGS, MAPPINGS)
+
+
 _PAIRS = (
     CLAIMS + ", o AS (SELECT phrase, list_sort(list(DISTINCT url)) AS urls FROM cl GROUP BY phrase), "
     "known AS (SELECT coalesce(o.phrase, rs.phrase) AS phrase, CASE WHEN rs.url IS NOT NULL THEN [rs.url] ELSE o.urls END AS dest, rs.url IS NOT NULL AS rule FROM o FULL OUTER JOIN rs ON rs.phrase = o.phrase)"
