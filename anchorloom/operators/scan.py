@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorloom.functions.text import normalize_text
+from anchorloom.runtime import spread
 
 # --- Fixed values: characters that end a word. Hyphen, slash, apostrophe, underscore,
 # asterisk, angle brackets and dashes do not.
@@ -110,7 +111,7 @@ def scan(nodes: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"], max_p
     has phrase, normalized and unique. Offsets count code points from 0. Texts of fewer than
     two characters and null texts give nothing; very long texts are scanned whole.
     """
-    base = nodes.where(F.length("text") >= 2).select(*keys, "node_index", normalize_text("text").alias("norm"))
+    base = spread(nodes.where(F.length("text") >= 2).select(*keys, "node_index", "text"), *keys).select(*keys, "node_index", normalize_text("text").alias("norm"))
     phrases = rules.where(F.col("phrase") != "").select("phrase")
     size = phrases.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
     if size["n"] <= max_phrases and size["chars"] <= max_chars:

@@ -40,6 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+#: Below so many bytes a core, a table is too small for Spark to split by itself.
+SMALL_BYTES_A_CORE = 2 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table over all cores, before work that is heavy for each row.
+
+    A file with one row group is one task however many cores wait. Tables of more than
+    SMALL_BYTES_A_CORE for each core, by Spark's own estimate, stay as they are: they have
+    tasks enough, and a shuffle would cost more than it gives.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * SMALL_BYTES_A_CORE else df
+
+
 class Workspace:
     """Written tables of one run. Each cuts the lineage: what follows reads files
     that outlive any executor, and is not computed again."""
