@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorloom.settings import Settings
@@ -18,6 +18,7 @@ SETTINGS = Settings(
 )
 MAPPINGS = [("Cider Press", "https://shop.example/cider-press", "manual"), ("Bow Saw", "/t/bow-saw", "product"), ("Null Modem", "javascript:alert(1)", "manual"), ("Star Tracker", "//other.example/x", "manual"), ("Patch Cable", "https://www.example/cable", "docs")]
 CHUNK = 1000
+PROTOCOL_LOCS = 50_000
 
 #: The current tables, for the SQL: e entries, t terms, s sitemaps, m memberships, p posts.
 VIEWS = r"""
@@ -39,8 +40,8 @@ listed AS (SELECT s.url || CASE WHEN m.entry_id // 1000 = (SELECT min(m2.entry_i
   FROM m JOIN e ON e.id = m.entry_id JOIN s ON s.id = m.sitemap_id WHERE s.kind <> 'index' AND e.url IS NOT NULL),
 leaf AS (SELECT url, '<?xml version="1.0"?><urlset>' || string_agg('<url><loc> ' || replace(replace(loc, '&', '&amp;'), '<', '&lt;') || '</loc>' || coalesce('<lastmod>' || lastmod || '</lastmod>', '') || '</url>', '' ORDER BY entry_id, loc)
     || CASE WHEN bool_or(cut) THEN '' ELSE '</urlset>' END AS xml FROM listed GROUP BY url),
-idx AS (SELECT i.url, '<sitemapindex xmlns="x">' || string_agg('<sitemap><loc>' || c.url || '</loc></sitemap>', '' ORDER BY c.id) || '</sitemapindex>' AS xml
-  FROM s i JOIN s c ON c.parent_url = i.url WHERE i.kind = 'index' GROUP BY i.url),
+idx AS (SELECT url, '<sitemapindex xmlns="x">' || string_agg('<sitemap><loc>' || child || '</loc></sitemap>', '' ORDER BY id) || '</sitemapindex>' AS xml
+  FROM (SELECT i.url, c.id, c.url AS child FROM s i JOIN s c ON c.parent_url = i.url WHERE i.kind = 'index' QUALIFY row_number() OVER (PARTITION BY i.url ORDER BY c.id) <= 50000) GROUP BY url),
 docs AS (SELECT * FROM leaf UNION ALL SELECT * FROM idx)
 """
 
@@ -65,7 +66,10 @@ def sitemap_docs(c: Catalog) -> DataFrame:
     g = m.groupBy(url.alias("doc")).agg(F.array_sort(F.collect_list(F.struct("entry_id", "loc", block.alias("b")))).alias("bs"), F.max(F.col("chunk") % 3 == 2).alias("cut"))
     leaf = g.select(F.col("doc").alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.transform("bs", lambda b: b["b"]), ""), F.when(F.col("cut"), "").otherwise("</urlset>")).alias("xml"))
     kids = s.select(F.col("parent_url").alias("url"), F.struct("sitemap_id", F.col("url").alias("u")).alias("k"))
-    idx = kids.join(s.where(F.col("kind") == "index").select("url"), "url").groupBy("url").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    kids = kids.join(s.where(F.col("kind") == "index").select("url"), "url")
+    # The protocol bounds a document at 50,000 locations.
+    kids = kids.withColumn("k_rank", F.row_number().over(Window.partitionBy("url").orderBy("k"))).where(F.col("k_rank") <= PROTOCOL_LOCS)
+    idx = kids.groupBy("url").agg(F.array_sort(F.collect_list("k")).alias("ks"))
     idx = idx.select("url", F.concat(F.lit('<sitemapindex xmlns="x">'), F.array_join(F.transform("ks", lambda k: F.concat(F.lit("<sitemap><loc>"), k["u"], F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
     return leaf.unionByName(idx)
 
@@ -82,5 +86,5 @@ def pages(c: Catalog) -> DataFrame:
 
 def categories(c: Catalog) -> DataFrame:
     """(id, parent_id): the posts' categories; the parent of n is n div 2."""
-    ids = c.posts.where(F.col("category_id").isNotNull()).select(F.col("category_id").cast("long").alias("id")).distinct()
+    ids = c.post_rows("category_id").where(F.col("category_id").isNotNull()).select(F.col("category_id").cast("long").alias("id")).distinct()
     return ids.select("id", F.nullif(F.expr("id div 2"), F.lit(0)).alias("parent_id"))

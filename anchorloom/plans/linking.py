@@ -28,12 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
+def rule_inputs(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    return c.term_rows("entry_id", "normalized_phrase", "state", "origin"), c.entry_rows("url", "content_type", "priority", "enabled", "removed_from_source")
+
+
 def db_rules(c: Catalog) -> DataFrame:
-    return rules.database_rules(c.terms, c.entries, SETTINGS)
+    return rules.database_rules(*rule_inputs(c), SETTINGS)
 
 
 def every_rule(c: Catalog) -> DataFrame:
-    return rules.all_rules(c.spark, c.terms, c.entries, SETTINGS, MAPPINGS)
+    return rules.all_rules(c.spark, *rule_inputs(c), SETTINGS, MAPPINGS)
 
 
 def ruleset(c: Catalog) -> DataFrame:
@@ -42,7 +46,8 @@ def ruleset(c: Catalog) -> DataFrame:
 
 def text_posts(c: Catalog) -> DataFrame:
     """One text node per post that may be linked."""
-    return render.plain_nodes(linkable_posts_op(c.posts, categories(c), SETTINGS), "id", "raw").withColumnRenamed("id", "doc_id")
+    posts = c.post_rows("raw", "post_type", "topic_id", "category_id", "private")
+    return render.plain_nodes(linkable_posts_op(posts, categories(c), SETTINGS), "id", "raw").withColumnRenamed("id", "doc_id")
 
 
 RULES = VIEWS + f""",

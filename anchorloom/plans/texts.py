@@ -142,18 +142,18 @@ GATED = (
 
 @query(VARIANTS + "SELECT id, array_to_string(vs, '|') AS variants, len(vs)::INTEGER AS n FROM v5")
 def term_variants(c: Catalog) -> DataFrame:
-    v = c.entries.select("id", ph.variants("title").alias("vs")).where(F.size("vs") > 0)
+    v = c.entry_rows("title").select("id", ph.variants("title").alias("vs")).where(F.size("vs") > 0)
     return v.select("id", F.array_join("vs", "|").alias("variants"), F.size("vs").alias("n"))
 
 
 @query(GATED + "SELECT entry_id, phrase, normalized_phrase, CASE WHEN review_reason IS NULL THEN 'auto_active' ELSE 'pending_review' END AS state FROM g")
 def generate_terms(c: Catalog) -> DataFrame:
-    return ph.generate_terms(c.entries, SETTINGS).select("entry_id", "phrase", "normalized_phrase", "state")
+    return ph.generate_terms(c.entry_rows("title"), SETTINGS).select("entry_id", "phrase", "normalized_phrase", "state")
 
 
 @query(GATED + "SELECT review_reason, count(*) AS n FROM g GROUP BY ALL")
 def gate_terms(c: Catalog) -> DataFrame:
-    return ph.generate_terms(c.entries, SETTINGS).groupBy("review_reason").agg(F.count(F.lit(1)).alias("n"))
+    return ph.generate_terms(c.entry_rows("title"), SETTINGS).groupBy("review_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- Sitemap documents

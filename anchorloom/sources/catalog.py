@@ -19,6 +19,17 @@ class Catalog:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    def entry_rows(self, *columns: str) -> DataFrame:
+        """Current entries with only these columns (and id, updated_at): an aggregate of whole
+        rows carries every column through its shuffle, so heavy queries name theirs."""
+        return current_rows(self.raw("sitemap_autolink_entries"), columns=list(columns))
+
+    def term_rows(self, *columns: str) -> DataFrame:
+        return current_rows(self.raw("sitemap_autolink_terms"), columns=list(columns))
+
+    def post_rows(self, *columns: str) -> DataFrame:
+        return current_rows(self.raw("posts"), order="created_at", columns=list(columns))
+
     @property
     def entries(self) -> DataFrame:
         return current_rows(self.raw("sitemap_autolink_entries"))
