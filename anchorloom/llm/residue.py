@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from anchorloom.functions.urls import squeeze
 from anchorloom.operators.current import current_rows
 from anchorloom.operators.skew import lookup
-from anchorloom.runtime import Workspace
+from anchorloom.runtime import Workspace, spread
 
 #: A line is boilerplate of its host if it stands beside at least this many different others.
 RECURRENT = 3
@@ -171,7 +171,7 @@ def residue_entries(entries: DataFrame, recurrent: int = RECURRENT, name_words:
     empty or blank title is missing, not residue, and is no case; very long titles are
     judged whole. Empty tables give no rows.
     """
-    now = current_rows(entries, columns=["url", "title"]).select("id", host_of("url").alias("host"), plain_title("title").alias("title")).where(F.col("title") != "")
+    now = spread(current_rows(entries, columns=["url", "title"])).select("id", host_of("url").alias("host"), plain_title("title").alias("title")).where(F.col("title") != "")
     lines = F.filter(F.split("title", _SEPARATOR), lambda s: F.trim(s) != "")
     cut = now.withColumn("lines", F.transform(lines, lambda s: F.trim(s)))
     several = cut.where(F.size("lines") > 1)

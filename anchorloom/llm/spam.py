@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorloom.runtime import Workspace
+from anchorloom.runtime import Workspace, spread
 
 # --- Fixed values: frequent function words by language. Words that shops put beside
 # keywords (for, near, me, en, pas, de, à) are not among them.
@@ -107,7 +107,7 @@ def spam_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Built from JVM expressions over the whole text, one pass, no shuffle.
     """
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("raw"), F.lower(F.col(text)).alias("low")).where(F.col("raw").rlike(r"\S"))
+    d = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("raw"))).withColumn("low", F.lower("raw")).where(F.col("raw").rlike(r"\S"))
     d = d.withColumn("words", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("words"))
     d = d.withColumn("sorted", F.array_sort("words"))
     # Runs of equal words in the sorted array: their lengths are the word counts.

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorloom.runtime import spread
+
 #: Where public vocabulary files are; a parameter of every function that reads one.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -200,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["k", "ids"])
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>")
+    out = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, ids array<int>")
     return out.select(F.col("k").alias(key), "ids")
 
 
