@@ -65,11 +65,14 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def language_of(text: Column, ws: Column) -> Column:
-    """By kana, Cyrillic letters, else by most function words; 'xx' if there are none."""
-    counts = {code: _known(ws, known.split()) for code, known in FUNCTION_WORDS.items() if code != "ru"}
-    best = F.greatest(*counts.values())
-    latin = F.coalesce(*[F.when((best > 0) & (n == best), F.lit(code)) for code, n in counts.items()], F.lit("xx"))
-    return F.when(_count(text, r"[ぁ-ヿ]") > 2, "ja").when(_count(text, r"[Ѐ-ӿ]") * 2 > _count(text, r"\p{L}"), "ru").otherwise(latin)
+    """By kana, Cyrillic letters, else by most function words (ties: the later code); 'xx' if
+    there are none. Letters are counted only in texts that have any of the script."""
+    counts = [F.struct(_known(ws, known.split()).alias("n"), F.lit(code).alias("code")) for code, known in FUNCTION_WORDS.items() if code != "ru"]
+    # One element, so that the greatest count is worked out once.
+    latin = F.transform(F.array(F.array_max(F.array(*counts))), lambda m: F.when(m["n"] > 0, m["code"]).otherwise("xx"))[0]
+    kana = text.rlike(r"[ぁ-ヿ]") & (_count(text, r"[ぁ-ヿ]") > 2)
+    cyrillic = text.rlike(r"[Ѐ-ӿ]") & (_count(text, r"[Ѐ-ӿ]") * 2 > _count(text, r"\p{L}"))
+    return F.when(kana, "ja").when(cyrillic, "ru").otherwise(latin)
 
 
 def _segments(text: Column, common: Column) -> Column:
