@@ -44,8 +44,9 @@ FEATURES = ("f_stuffed", "f_links", "f_flat", "f_repeat", "f_bare")
 
 _WORD = r"[\p{L}\p{M}]+"
 _LINK = r"https?://\S+|www\.\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)|\[url[^\]]*\]|#[\p{L}\p{N}_]+"
-#: Segments end at line breaks and after the end of a sentence.
-_CUT = r"\n+|(?<=[.!?…]['\")\]]?)\s+(?=[\p{Lu}¿¡\"'(\[\p{N}#<])|(?<=[。！？])"
+#: Segments end at line breaks and after the end of a sentence; before a small letter only after a word
+#: of three letters, as after shorter ones the stop is mostly that of an abbreviation.
+_CUT = r"\n+|(?<=[.!?…]['\")\]]?)\s+(?=[\p{Lu}¿¡\"'(\[\p{N}#<])|(?<=\p{L}{3}[.!?…])\s+|(?<=[。！？])"
 #: Between the items of a list on one line.
 _ITEM = r"\s[|·•>»]\s|[,;|·•]\s*"
 _ALL_WORDS = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
@@ -76,13 +77,14 @@ def language_of(text: Column, ws: Column) -> Column:
 
 
 def _segments(text: Column, common: Column) -> Column:
-    """array<struct<size, stuffed>>: the segments of a text. A segment is stuffed if it is no
+    """array<struct<size, stuffed>>: the segments of a text in its own case. A segment is stuffed if it is no
     sentence (few function words, or the same words again and again) and is a link or tag, a
     list of short items, or made of words that the document repeats."""
 
     # Each step of the chain holds what the next one needs more than once: inside a lambda
     # every mention of an expression is a new evaluation.
-    cut = F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S"))
+    # Cut before lowering: the start of a sentence is seen by its capital.
+    cut = F.transform(F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S")), F.lower)
     one = F.transform(cut, lambda s: F.struct(s.alias("s"), F.regexp_replace(s, _LINK, " ").alias("plain"), s.rlike(_LINK).alias("linked")))
     two = F.transform(one, lambda x: F.struct(x["s"].alias("s"), x["linked"].alias("linked"), F.regexp_extract_all(x["plain"], F.lit(_WORD), F.lit(0)).alias("ws"), F.size(F.split(x["s"], _ITEM)).alias("items")))
     three = F.transform(
@@ -128,7 +130,7 @@ def spam_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     bare = F.when(F.col("language") == "ja", 1.0 - F.least(F.lit(1.0), _share(_count(F.col("low"), JA_ENDINGS) * 8, F.length("low").cast("double")))).otherwise(
         1.0 - F.least(F.lit(1.0), _share(_known(F.col("words"), _ALL_WORDS), n))
     )
-    d = d.withColumn("f_bare", bare).withColumn("segments", _segments(F.col("low"), F.col("common")))
+    d = d.withColumn("f_bare", bare).withColumn("segments", _segments(F.col("raw"), F.col("common")))
     total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["size"])
     stuffed = F.aggregate(F.filter("segments", lambda s: s["stuffed"]), F.lit(0.0), lambda a, s: a + s["size"])
     d = d.withColumn("f_stuffed", _share(stuffed, total))

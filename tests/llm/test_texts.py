@@ -203,3 +203,15 @@ def test_queries_and_sql(spark):
         check(spark, con, queries.QUERIES[name], sql)
     for name in set(queries.QUERIES) - set(queries.ORACLES):
         queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+
+
+def test_spam_one_line(spark):
+    """A page without line breaks is judged by its sentences, not all or nothing."""
+    things = [f"{a} {b}" for a in ("cheap", "best", "buy", "sale") for b in THINGS]
+    prose = "I keep the old saw in the shed because it is dry. She told me that the kiln was not hot. We were at the river when it broke. What do you do with this? They have had the same mill. He is on the roof with a rope."
+    words = prose.replace("?", ".").split(".")
+    half = prose + " " + ", ".join(things * 2) + "."
+    quarter = prose + " " + ", ".join(things[:6]) + "."
+    df = spark.createDataFrame([(1, half), (2, quarter), (3, prose), (4, prose.upper() + "\n" + ", ".join(things))], "doc_id bigint, text string")
+    f = {r["doc_id"]: r["f_stuffed"] for r in spam_features(df).collect()}
+    assert len(words) == 7 and 0.6 < f[1] < 0.9 and 0 < f[2] < 0.45 and f[3] == 0 and 0.5 < f[4] < 0.8
