@@ -35,6 +35,11 @@ CUTOFF = 20.515
 TOWARDS = 2.0
 #: Least deviations, so that features that are constant in most documents keep a scale.
 FLOORS = (0.08, 0.05, 0.05, 0.05, 0.05)
+#: Most words of a window in which a segment is judged, so that repetition counts the same at any length, and most
+#: characters of a window of Japanese, which has no spaces.
+WINDOW, JA_WINDOW = 50, 80
+#: Most letters of Japanese prose to one particle or ending, and letters that count as one word.
+JA_LETTERS, JA_WORD = 20, 2
 #: Share of the text that must be stuffing, and the fewest words that can be a page rather than a remark.
 SHARE, LEAST_WORDS = 0.5, 20
 #: Languages with fewer documents use the estimates of all documents.
@@ -49,6 +54,10 @@ _LINK = r"https?://\S+|www\.\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)|\[url[^\]]*\]|#[\p
 _CUT = r"\n+|(?<=[.!?…]['\")\]]?)\s+(?=[\p{Lu}¿¡\"'(\[\p{N}#<])|(?<=\p{L}{3}[.!?…])\s+|(?<=[。！？])"
 #: Between the items of a list on one line.
 _ITEM = r"\s[|·•>»]\s|[,;|·•]\s*"
+#: The mark at the end of a sentence, and the head of a list of tags.
+_MARK = r"[.!?…。！？]\W*$"
+_LABEL = r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:"
+_KANA, _CJK = r"[ぁ-ヿ]", r"[ぁ-ヿ々\p{IsHan}]"
 _ALL_WORDS = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
 
 
@@ -76,8 +85,23 @@ def language_of(text: Column, ws: Column) -> Column:
     return F.when(kana, "ja").when(cyrillic, "ru").otherwise(latin)
 
 
+def _windows(s: Column) -> Column:
+    """array<string>: a segment in even windows of at most WINDOW words between spaces, or JA_WINDOW
+    characters where it is mostly Japanese. Shorter ones are one window."""
+
+    def parts(n: Column, most: int, part) -> Column:
+        # One element each, so that the number of windows and their size are worked out once.
+        k = F.transform(F.array(n), lambda n: F.struct(n.alias("n"), F.ceil(n / most).cast("int").alias("k")))
+        step = F.transform(k, lambda x: F.struct(x["k"].alias("k"), F.ceil(x["n"] / x["k"]).cast("int").alias("step")))
+        return F.flatten(F.transform(step, lambda x: F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda i: part(i * x["step"] + 1, x["step"]))))
+
+    spaced = F.flatten(F.transform(F.array(F.split(F.trim(s), r"\s+")), lambda ws: F.when(F.size(ws) <= WINDOW, F.array(s)).otherwise(parts(F.size(ws), WINDOW, lambda at, n: F.array_join(F.slice(ws, at, n), " ")))))
+    japanese = s.rlike(_KANA) & (_count(s, _KANA) > 3) & (_count(s, _CJK) * 2 > _count(s, r"\p{L}"))
+    return F.when(F.length(s) <= JA_WINDOW, F.array(s)).when(japanese, parts(F.length(s), JA_WINDOW, lambda at, n: F.substring(s, at, n))).otherwise(spaced)
+
+
 def _segments(text: Column, common: Column) -> Column:
-    """array<struct<size, stuffed>>: the segments of a text in its own case. A segment is stuffed if it is no
+    """array<struct<size, stuffed>>: the segments of a text in its own case, long ones in windows. A segment is stuffed if it is no
     sentence (few function words, or the same words again and again) and is a link or tag, a
     list of short items, or made of words that the document repeats."""
 
@@ -85,22 +109,25 @@ def _segments(text: Column, common: Column) -> Column:
     # every mention of an expression is a new evaluation.
     # Cut before lowering: the start of a sentence is seen by its capital.
     cut = F.transform(F.filter(F.split(text, _CUT), lambda s: s.rlike(r"\S")), F.lower)
-    one = F.transform(cut, lambda s: F.struct(s.alias("s"), F.regexp_replace(s, _LINK, " ").alias("plain"), s.rlike(_LINK).alias("linked")))
-    two = F.transform(one, lambda x: F.struct(x["s"].alias("s"), x["linked"].alias("linked"), F.regexp_extract_all(x["plain"], F.lit(_WORD), F.lit(0)).alias("ws"), F.size(F.split(x["s"], _ITEM)).alias("items")))
+    wide = F.transform(cut, lambda s: F.struct(_windows(s).alias("parts"), s.rlike(_MARK).alias("marked"), s.rlike(_LABEL).alias("labelled")))
+    parts = F.flatten(F.transform(wide, lambda x: F.transform(x["parts"], lambda s: F.struct(s.alias("s"), x["marked"].alias("marked"), x["labelled"].alias("labelled")))))
+    one = F.transform(parts, lambda x: F.struct(x.alias("of"), F.regexp_replace(x["s"], _LINK, " ").alias("plain"), x["s"].rlike(_LINK).alias("linked")))
+    two = F.transform(one, lambda x: F.struct(x["of"].alias("of"), x["linked"].alias("linked"), F.regexp_extract_all(x["plain"], F.lit(_WORD), F.lit(0)).alias("ws"), F.size(F.split(x["of"]["s"], _ITEM)).alias("items")))
     three = F.transform(
         two,
         lambda x: F.struct(
-            x["s"].alias("s"), x["linked"].alias("linked"), x["items"].alias("items"), F.size(x["ws"]).cast("double").alias("n"), F.size(F.array_distinct(x["ws"])).alias("types"),
+            x["of"].alias("of"), x["linked"].alias("linked"), x["items"].alias("items"), F.size(x["ws"]).cast("double").alias("n"), F.size(F.array_distinct(x["ws"])).alias("types"),
             _known(x["ws"], _ALL_WORDS).alias("function"), F.size(F.filter(x["ws"], lambda w: F.array_contains(common, w))).alias("hits"),
         ),
     )
 
     def judge(x: Column) -> Column:
-        s, n = x["s"], x["n"]
-        sentence = (n >= 3) & (x["function"] >= 0.09 * n) & (n - x["types"] < (0.3 + 0.002 * n) * n) | (_count(s, r"[ぁ-ヿ]") > 3) & (_count(s, JA_ENDINGS) >= 1)
-        listed = (x["items"] >= 4) & (n <= 8.0 * x["items"]) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | s.rlike(r"(?i)^\s*(?:tags?|keywords?|labels?|schlagw[oö]rter|mots[- ]clés|etiquetas|теги|tagi)\s*:")
+        s, n = x["of"]["s"], x["n"]
+        japanese = s.rlike(_KANA) & (_count(s, _KANA) > 3) & (_count(s, _CJK) * 2 > _count(s, r"\p{L}")) & (_count(s, JA_ENDINGS) * JA_LETTERS >= _count(s, _CJK))
+        sentence = (n >= 3) & (x["function"] >= 0.09 * n) & (n - x["types"] < F.least(0.3 + 0.002 * n, F.lit(0.3 + 0.002 * WINDOW)) * n) | japanese
+        listed = (x["items"] >= 4) & (n <= 8.0 * x["items"]) | s.rlike(r"^[^.!?]{1,60} [>»] [^.!?]{1,60} [>»] ") | x["of"]["labelled"]
         # Lines that end without a mark need fewer words of the repeated ones: rows of a product list.
-        repeated = (n > 0) & (x["hits"] >= F.when(s.rlike(r"[.!?…。！？]\W*$"), 0.5).otherwise(0.14) * n)
+        repeated = (n > 0) & (x["hits"] >= F.when(x["of"]["marked"], 0.5).otherwise(0.14) * n)
         code = s.rlike(r"[={}]|\)\s*[:;{]|\w\([^)]*\)")
         return F.struct(F.length(s).cast("double").alias("size"), (~sentence & (x["linked"] | ~code & (listed | repeated))).alias("stuffed"))
 
@@ -134,7 +161,9 @@ def spam_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["size"])
     stuffed = F.aggregate(F.filter("segments", lambda s: s["stuffed"]), F.lit(0.0), lambda a, s: a + s["size"])
     d = d.withColumn("f_stuffed", _share(stuffed, total))
-    return d.select("doc_id", "language", "n_words", *FEATURES)
+    # Japanese has no spaces between words: its letters are counted.
+    n_words = F.when(F.col("raw").rlike(_CJK), F.greatest("n_words", (_count(F.col("raw"), _CJK) / JA_WORD).cast("int"))).otherwise(F.col("n_words"))
+    return d.select("doc_id", "language", n_words.alias("n_words"), *FEATURES)
 
 
 def _frame(centre: np.ndarray, scatter: np.ndarray) -> tuple[list[float], list[float]]:

@@ -215,3 +215,17 @@ def test_spam_one_line(spark):
     df = spark.createDataFrame([(1, half), (2, quarter), (3, prose), (4, prose.upper() + "\n" + ", ".join(things))], "doc_id bigint, text string")
     f = {r["doc_id"]: r["f_stuffed"] for r in spam_features(df).collect()}
     assert len(words) == 7 and 0.6 < f[1] < 0.9 and 0 < f[2] < 0.45 and f[3] == 0 and 0.5 < f[4] < 0.8
+
+
+def test_spam_at_any_length(spark):
+    """Repetition counts the same however long it goes on; so do Japanese endings."""
+    garden = "the best garden shears for you and the best garden shears in the city with the best price "
+    deals = lambda n: " ".join(f"deals on {THINGS[k % 7]}" for k in range(n))
+    listing = "ボビン 格安 通販 釉薬 ふるい 最安値 ボビン 送料 無料 ガイド 望遠鏡 "
+    japanese = "昨日、窯のコントローラーのばねが折れてしまいました。誰か釉薬ふるいの説明書を持っていませんか。冬の間は乾いた場所に置いています。"
+    prose = "she told me that when the river rose in spring nobody could cross at our old ford so we built a raft from barrels and rope which held until some cattle broke it and then my uncle said he would rather swim than wait again because his letters had been lost twice already on that road"
+    texts = [garden * 10, garden * 25, garden * 100, deals(30), deals(200), listing * 40 + "ボビンから", listing * 3 + "\n" + listing * 30, japanese * 40, japanese.replace("。", "、") * 4, prose, prose + " " + deals(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    f = {r["doc_id"]: (r["f_stuffed"], r["n_words"]) for r in spam_features(df).collect()}
+    assert [round(f[i][0], 1) for i in range(10)] == [1.0] * 7 + [0.0] * 3
+    assert 0.5 < f[10][0] < 0.98 and f[8][1] >= 20
