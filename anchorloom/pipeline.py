@@ -32,6 +32,7 @@ class SyncReport:
     clean: bool
     counts: dict[str, int] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
 
 
 def empty_catalog(spark: SparkSession) -> dict[str, DataFrame]:
@@ -43,7 +44,8 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
 
     ``docs`` (url, xml) and ``web`` (url, html) are what was fetched; ``sitemaps`` (url, status)
     says which children of indexes are read. The new tables become the store's next version.
-    Without sources, with a source that cannot be read in full, or after a partial pass
+    Without sources, with a source or an enabled child that cannot be read in full, with an
+    index of more children than are read, or after a partial pass
     nothing is removed or pruned. One time stamp holds for the whole pass.
     """
     work = Workspace(spark, "sync")
@@ -54,7 +56,11 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
     whole = docs.where(sm.is_complete("xml")).select("url")
     broken = [r["url"] for r in src.join(whole, "url", "left_anti").select("url").collect()]  # sources are settings: few
     errors = [f"failed to fetch sitemap {u}" for u in sorted(broken)] + ([] if sources else ["no sitemap sources configured"])
-    clean = not errors and not partial
+    # At most CHILDREN_PER_INDEX rows and one more for each source.
+    gaps = sorted(sm.unread(src.select("url"), docs, sitemaps).collect(), key=lambda r: (r["source"], r["child"] or ""))
+    errors += [f"failed to fetch child sitemap {u} (unreachable or incomplete)" for u in dict.fromkeys(r["child"] for r in gaps if r["child"])]
+    notes = [f"sitemap index {r['source']} lists {r['n_children']} child sitemaps; only the first {sm.CHILDREN_PER_INDEX} were processed" for r in gaps if not r["child"]]
+    clean = not errors and not notes and not partial
 
     pages = sm.expand(src.select("url"), docs, sitemaps)
     listing = pages.join(src.withColumnRenamed("url", "source"), "source").select(F.struct("rank", "listed_in", "position").alias("ordinal"), "loc", "content_type", "lastmod", F.col("listed_in").alias("sitemap_id"))
@@ -120,7 +126,7 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
     decision = rebake.gate(phrases, settings).first()["decision"] if settings.auto_rebake_on_changes else "none"
     counts["rebake"] = int(decision == "rebake")
     work.clear()
-    return SyncReport(new_version, clean, counts, errors)
+    return SyncReport(new_version, clean, counts, errors, notes)
 
 
 def catalog_rules(spark: SparkSession, store: SnapshotStore, settings: Settings, mappings: list[tuple[str, str, str]] = ()) -> DataFrame:

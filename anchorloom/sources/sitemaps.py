@@ -37,6 +37,27 @@ def parse_sitemap(docs: DataFrame, url: str = "url", xml: str = "xml") -> DataFr
     return blocks.select("url", "position", xml_unescape(loc).alias("loc"), lastmod.alias("lastmod")).where(F.col("loc") != "")
 
 
+def _children(sources: DataFrame, docs: DataFrame, cap: int) -> DataFrame:
+    """(source, url): the first ``cap`` children of each index among the sources."""
+    heads = sources.select(strip("url").alias("url")).join(docs.where(is_complete("xml") & (sitemap_kind("xml") == "index")), "url")
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("position"))
+    return parse_sitemap(heads).withColumn("rank", rank).where(F.col("rank") <= cap).select(F.col("url").alias("source"), strip("loc").alias("url")).distinct()
+
+
+def _enabled(sitemaps: DataFrame) -> DataFrame:
+    return sitemaps.where(F.col("status") == "enabled").select(strip("url").alias("url")).distinct()
+
+
+def unread(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
+    """(source, child, n_children): what ``expand`` left out. An enabled child that is missing or
+    cut off has its url; an index with more than ``cap`` children has a row with a null child."""
+    whole = docs.where(is_complete("xml")).select("url")
+    failed = _children(sources, docs, cap).join(_enabled(sitemaps), "url").where(F.col("url") != "").join(whole, "url", "left_anti")
+    heads = sources.select(strip("url").alias("url")).distinct().join(docs.where(is_complete("xml") & (sitemap_kind("xml") == "index")), "url")
+    over = parse_sitemap(heads).groupBy(F.col("url").alias("source")).agg(F.count(F.lit(1)).alias("n_children")).where(F.col("n_children") > cap)
+    return failed.select("source", F.col("url").alias("child"), F.lit(None).cast("long").alias("n_children")).unionByName(over.select("source", F.lit(None).cast("string").alias("child"), "n_children"))
+
+
 def expand(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
     """(source, listed_in, position, loc, lastmod) of what sources list, through their indexes.
 
@@ -46,11 +67,7 @@ def expand(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int =
     good = docs.where(is_complete("xml")).withColumn("kind", sitemap_kind("xml"))
     heads = sources.select(strip("url").alias("url")).join(good, "url")
     own = parse_sitemap(heads.where(F.col("kind") == "urlset")).withColumn("source", F.col("url"))
-    children = parse_sitemap(heads.where(F.col("kind") == "index"))
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("position"))
-    children = children.withColumn("rank", rank).where(F.col("rank") <= cap).select(F.col("url").alias("source"), strip("loc").alias("url")).distinct()
-    enabled = sitemaps.where(F.col("status") == "enabled").select(strip("url").alias("url")).distinct()
-    read = children.join(enabled, "url").join(good.where(F.col("kind") == "urlset").select("url", "xml"), "url")
+    read = _children(sources, docs, cap).join(_enabled(sitemaps), "url").join(good.where(F.col("kind") == "urlset").select("url", "xml"), "url")
     through = parse_sitemap(read.select("url", "xml").distinct()).join(read.select("url", "source"), "url")
     cols = ["source", F.col("url").alias("listed_in"), "position", "loc", "lastmod"]
     return own.select(*cols).unionByName(through.select(*cols))

@@ -79,3 +79,25 @@ def test_cli(spark, capsys):
     report(c, 3)
     preview(c, 3)
     assert "auto_active" in capsys.readouterr().out
+
+
+def test_unread_children_keep_their_pages(spark, tmp_path):
+    """Children beyond the cap and enabled ones that fail make a pass unclean: nothing is removed."""
+    kid = lambda k: f"https://a/k{k}.xml"
+    index = lambda ks: ("https://a/i.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>{kid(k)}</loc></sitemap>" for k in ks) + "</sitemapindex>")
+    page = lambda k, cut=False: (kid(k), urlset((f"https://a/p{k}", "1"), cut=cut))
+    maps = spark.createDataFrame([(kid(k), "enabled") for k in range(102)] + [(kid(900), "pending")], "url string, status string")
+    web = spark.createDataFrame([], "url string, html string")
+    store = SnapshotStore(spark, str(tmp_path / "cat"))
+
+    def run(docs, day):
+        return sync_catalog(spark, store, [("https://a/i.xml", "wiki")], spark.createDataFrame(docs, "url string, xml string"), web, maps, Settings(), T + timedelta(days=day))
+
+    # A pending child that is not there is no failure.
+    r = run([index([0, 101, 900]), page(0), page(101)], 0)
+    assert r.clean and r.counts["added"] == 2
+    # The child is now behind the cap; its page stays.
+    r = run([index(range(102)), *[page(k) for k in range(102)]], 1)
+    assert not r.clean and r.counts["removed"] == 0 and not r.errors and "102" in r.notes[0]
+    r = run([index([0, 101]), page(0), page(101, cut=True)], 2)
+    assert not r.clean and r.counts["removed"] == 0 and kid(101) in r.errors[0]
