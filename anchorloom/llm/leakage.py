@@ -1,7 +1,8 @@
 """Evaluation passages in training text, through a positional inverted index.
 
 The corpus' count of every test term is taken first. Of each window of consecutive item
-words the rarest terms are its anchors. Only anchors have postings: one row per
+words the rarest terms are its anchors, for proximity so many that enough of them are left
+when all words that may differ are anchors. Only anchors have postings: one row per
 occurrence in the corpus with document and position. Shifted by the anchor's own
 position in the item, postings of one passage meet on one diagonal (document, item,
 document position minus item position); a window whose anchors meet there is a candidate
@@ -17,7 +18,7 @@ from anchorloom.runtime import Workspace
 
 #: Consecutive words that make a passage.
 PASSAGE = 12
-#: Rarest terms of a window that have postings, and how many must meet for a candidate.
+#: Rarest terms of a window that have postings for exact phrases, and how many must meet for a proximity candidate.
 ANCHORS, MEET = 3, 2
 #: Equal words of a window, at equal distances, that make a proximity match.
 NEAR = 9
@@ -56,7 +57,7 @@ def passage_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, pass
     """(doc_id, item_id, best_words): the most equal words of any window of ``passage``
     item words on one diagonal of the document, if at least ``near``; ``passage`` means an
     exact phrase. Exact phrases are found without exception: all their anchors meet.
-    Proximity matches are found where two of a window's three rarest terms meet.
+    So are proximity matches: of ``passage - near + MEET`` anchors at least MEET meet, whichever words differ.
 
     ``docs`` has doc_id and text, ``items`` item_id and item_text. Null, empty and short
     texts match nothing; repeated rows give one row; rows with a null id are left out.
@@ -68,15 +69,16 @@ def passage_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, pass
     its = work.write(item_words(items, passage), "items")
     terms = its.select(F.explode("item_words").alias("term")).distinct()
     counts = work.write(term_counts(base, terms), "counts")
-    windows = work.write(window_anchors(its, counts, passage), "windows")
+    # All anchors of an exact phrase meet; for proximity passage - near of them may be missing.
+    meet = ANCHORS if near >= passage else min(MEET, near)
+    anchors = ANCHORS if near >= passage else passage - near + meet
+    windows = work.write(window_anchors(its, counts, passage, anchors), "windows")
     # Where an anchor stands in the items: few rows, each with the term and its item position.
     used = windows.select("item_id", F.explode("positions").alias("p")).distinct()
     spots = used.join(its.select("item_id", F.posexplode("item_words").alias("p", "term")), ["item_id", "p"])
     spots = work.write(spots.select("term", "item_id", "p"), "spots")
     postings = base.select("doc_id", F.posexplode(words("text")).alias("pos", "term"))
     met = postings.join(spots, "term").groupBy("doc_id", "item_id", (F.col("pos") - F.col("p")).alias("diagonal")).agg(F.collect_set("p").alias("ps"))
-    # All anchors of an exact phrase meet; only for proximity may one of them be missing.
-    meet = ANCHORS if near >= passage else MEET
     met = met.where(F.size("ps") >= meet)
     by_item = windows.groupBy("item_id").agg(F.collect_list(F.struct("start", "positions")).alias("windows"))
     cands = met.join(by_item, "item_id").select(

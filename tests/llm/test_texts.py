@@ -229,3 +229,18 @@ def test_spam_at_any_length(spark):
     f = {r["doc_id"]: (r["f_stuffed"], r["n_words"]) for r in spam_features(df).collect()}
     assert [round(f[i][0], 1) for i in range(10)] == [1.0] * 7 + [0.0] * 3
     assert 0.5 < f[10][0] < 0.98 and f[8][1] >= 20
+
+
+def test_near_with_the_rarest_words_replaced(spark):
+    """Proximity against brute force: up to three of twelve words differ, the rarest ones first."""
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, [rnd.choice(vocab[:20]) if k % 4 else f"rare{i}x{k}" for k in range(12)]) for i in range(12)]
+    docs = [(i * 10 + n, vocab[20:24] + [f"other{k}" if k % 4 == 0 and k // 4 < n else w for k, w in enumerate(ws)]) for i, ws in items for n in range(4)]
+    docs += [(500 + k, [w for _, ws in items for w in ws if w[0] == "r"]) for k in range(2)] + [(600, sum((ws for _, ws in items), []))]
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id bigint, text string")
+    i = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id bigint, item_text string")
+    best = {(a, b): max(sum(0 <= s + k < len(x) and x[s + k] == w for k, w in enumerate(y)) for s in range(-11, len(x))) for a, x in docs for b, y in items}
+    want = {k: v for k, v in best.items() if v >= leakage.NEAR}
+    assert {9, 10, 11, 12} <= set(want.values())
+    assert {(r["doc_id"], r["item_id"]): r["best_words"] for r in leakage.passage_matches(spark, d, i).collect()} == want
