@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from anchorloom.llm import leakage
 from anchorloom.llm.canonical import canonical, canonical_column, canonical_records, unstable
 from anchorloom.llm.residue import residue_entries
-from anchorloom.llm.spam import spam_features, spam_pages
+from anchorloom.llm.spam import judged_pages, robust_estimates, spam_features, spam_pages
 from anchorloom.llm.tokenizer import PATTERN, TokenAutomaton, decode_documents, encode_documents, load_encoder, vocabulary_path
 
 CASES = [
@@ -51,6 +51,7 @@ def test_canonical_records(spark):
     assert [r[0] for r in df.select(canonical_column("q")).collect()] == ["a", "a", "b", None, "plain" * 20000, None]
 
 
+THINGS = ["bow saw", "kiln controller", "reed knife", "star tracker", "rope fid", "pug mill", "cone holder"]
 RESIDUE = [
     "HTTP 410 - Ivernook", "Title (change me)", "Exception in layout.tpl line 92", "Error establishing a database connection (ref 9b9)", "&LT;%= TITLE %&GT;", "404 Not Found", "Tarnwick | 502 - Bad Gateway", "%%PAGE_TITLE%% Wiring Diagram", "Honey Extractor - {{ page.title }}", "&lt;%= title %&gt;", "Lorem ipsum dolor sit amet - X Shop", "Untitled-3", "New Page 1",
     "Please enable JavaScript to view this page", "Включите JavaScript | Rastavel", "Einen Moment bitte...", "error 500: página no encontrada", "Access to this page has been denied - Corvale", "NaN - undefined", "%s - %s",
@@ -67,11 +68,16 @@ def test_residue(spark):
     rows = [(i, f"https://www.tarnwick.example/{i}", t, 2, "x") for i, t in enumerate(RESIDUE + REAL)]
     # An older state with another title does not count; a repeated row does not matter.
     rows += [(len(RESIDUE), "https://h/x", "404 Not Found", 1, "x"), rows[0], (None, "https://h/x", "404", 1, "x"), (900, None, "404", 1, "x"), (901, "https://h", "word " * 20000 + "404", 1, "x")]
+    # Names are known from other titles, as lines or as their first words.
+    rows += [(2000 + 10 * k + n, f"https://www.other.example/{k}/{n}", t.format(THINGS[n]), 2, "x") for k, name in enumerate(("Ivernook", "Corvale", "Velmora", "Rastavel")) for n, t in enumerate((f"{{}} | {name}", f"{name} {{}}", f"{name} {{}} Kit"))]
     df = spark.createDataFrame(rows, "id int, url string, title string, updated_at int, kind string")
     got = {r["entry_id"] for r in residue_entries(df).collect()}
     wrong = [(RESIDUE + REAL)[i] for i in range(len(RESIDUE + REAL)) if (i in got) != (i < len(RESIDUE))]
     assert not wrong
     assert 900 in got and 901 not in got
+    # The counts decide: without them titles with a name beside the evidence are lost.
+    lost = got - {r["entry_id"] for r in residue_entries(df, recurrent=10**9).collect()}
+    assert {RESIDUE[i] for i in lost} >= {"HTTP 410 - Ivernook", "Включите JavaScript | Rastavel", "Access to this page has been denied - Corvale", "Velmora | Application error: a client-side exception has occurred"}
     assert residue_entries(df.limit(0)).count() == 0
 
 
@@ -166,7 +172,6 @@ PROSE = [
     "I picked up the {0} from the shop and it still feels sturdy. There is a spacer between the {1} and the frame that people forget, so I wrote it down. What do you use for the {0} in the winter?",
     "You want the older {0}, if you plan on cleaning it yourself. We measured {n} mm at the rear and it was not what the manual says. She told me that the {1} is the same as on the other one.",
 ]
-THINGS = ["bow saw", "kiln controller", "reed knife", "star tracker", "rope fid", "pug mill", "cone holder"]
 
 
 def spam_docs():
@@ -190,8 +195,16 @@ def test_spam(spark):
     got = [r["doc_id"] for r in spam_pages(spark, df).collect()]
     assert set(got) == {i for i, _ in bad} and got.count(500) == 2
     assert spam_pages(spark, df.limit(0)).count() == 0
-    f = {r["doc_id"]: r for r in spam_features(df).collect()}
-    assert 401 not in f and 402 not in f and f[0]["f_stuffed"] < 0.2 < f[501]["f_links"]
+    features = spam_features(df)
+    f = {r["doc_id"]: r for r in features.collect()}
+    assert 401 not in f and 402 not in f and f[0]["windows"][0]["f_bare"] < 0.6 < f[501]["windows"][0]["f_dense"] and f[0]["language"] == "en"
+    # The distance decides: without it, or from another centre and scatter, other pages are found.
+    estimates = robust_estimates(features)
+    pages = lambda **k: {r["doc_id"] for r in judged_pages(features, k.pop("estimates", estimates), **k).where("spam_share > 0.5").collect()}
+    assert pages() >= {i for i, _ in bad}
+    assert not pages(cutoff=1e4) and pages(cutoff=120.0) < pages()
+    assert pages(estimates={c: (m + 1, s) for c, (m, s) in estimates.items()}) != pages()
+    assert pages(towards=-9.0) - pages()
 
 
 def test_queries_and_sql(spark):
@@ -205,30 +218,47 @@ def test_queries_and_sql(spark):
         queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
 
+def spam_shares(spark, texts):
+    """Share of stuffing and number of words of each text, among 400 documents of prose."""
+    good, _ = spam_docs()
+    df = spark.createDataFrame(good[:400] + [(1000 + k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    features = spam_features(df)
+    got = {r["doc_id"]: r for r in judged_pages(features, robust_estimates(features)).collect()}
+    return [(got[1000 + k]["spam_share"], got[1000 + k]["n_words"]) for k in range(len(texts))]
+
+
 def test_spam_one_line(spark):
-    """A page without line breaks is judged by its sentences, not all or nothing."""
+    """A page without line breaks is judged by its windows, not all or nothing."""
     things = [f"{a} {b}" for a in ("cheap", "best", "buy", "sale") for b in THINGS]
     prose = "I keep the old saw in the shed because it is dry. She told me that the kiln was not hot. We were at the river when it broke. What do you do with this? They have had the same mill. He is on the roof with a rope."
-    words = prose.replace("?", ".").split(".")
-    half = prose + " " + ", ".join(things * 2) + "."
-    quarter = prose + " " + ", ".join(things[:6]) + "."
-    df = spark.createDataFrame([(1, half), (2, quarter), (3, prose), (4, prose.upper() + "\n" + ", ".join(things))], "doc_id bigint, text string")
-    f = {r["doc_id"]: r["f_stuffed"] for r in spam_features(df).collect()}
-    assert len(words) == 7 and 0.6 < f[1] < 0.9 and 0 < f[2] < 0.45 and f[3] == 0 and 0.5 < f[4] < 0.8
+    half, quarter, none, upper = (x for x, _ in spam_shares(spark, [prose + " " + ", ".join(things * 2) + ".", prose + " " + ", ".join(things[:6]) + ".", prose, prose.upper() + "\n" + ", ".join(things)]))
+    assert 0.6 < half < 0.9 and quarter < 0.45 and none == 0 and 0.5 < upper < 0.8
 
 
 def test_spam_at_any_length(spark):
     """Repetition counts the same however long it goes on; so do Japanese endings."""
-    garden = "the best garden shears for you and the best garden shears in the city with the best price "
     deals = lambda n: " ".join(f"deals on {THINGS[k % 7]}" for k in range(n))
     listing = "ボビン 格安 通販 釉薬 ふるい 最安値 ボビン 送料 無料 ガイド 望遠鏡 "
     japanese = "昨日、窯のコントローラーのばねが折れてしまいました。誰か釉薬ふるいの説明書を持っていませんか。冬の間は乾いた場所に置いています。"
     prose = "she told me that when the river rose in spring nobody could cross at our old ford so we built a raft from barrels and rope which held until some cattle broke it and then my uncle said he would rather swim than wait again because his letters had been lost twice already on that road"
-    texts = [garden * 10, garden * 25, garden * 100, deals(30), deals(200), listing * 40 + "ボビンから", listing * 3 + "\n" + listing * 30, japanese * 40, japanese.replace("。", "、") * 4, prose, prose + " " + deals(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    f = {r["doc_id"]: (r["f_stuffed"], r["n_words"]) for r in spam_features(df).collect()}
-    assert [round(f[i][0], 1) for i in range(10)] == [1.0] * 7 + [0.0] * 3
-    assert 0.5 < f[10][0] < 0.98 and f[8][1] >= 20
+    texts = [listing * 40 + "ボビンから", listing * 3 + "\n" + listing * 30, ("buy bow saw " * 8).strip(), "buy bow saw\n" * 200, japanese * 40, japanese.replace("。", "、") * 4, prose, prose + " " + ", ".join(f"{t} sale" for t in THINGS * 8), "", "x"]
+    got = spam_shares(spark, texts[:8])
+    assert [round(x) for x, _ in got[:7]] == [1, 1, 1, 1, 0, 0, 0], got
+    assert 0.5 < got[7][0] < 0.98 and got[5][1] >= 20
+    assert [round(x) for x, _ in spam_shares(spark, [deals(30), deals(200), deals(2000)])] in ([1, 1, 1], [0, 0, 0])
+
+
+def test_windows_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    from anchorloom.llm.spam import window_batch
+
+    good, bad = spam_docs()
+    texts = [t for _, t in good[380:400] + bad if t] + ["", " \n ", "a", "日本語です。", "é" * 50, "http://x.example " * 70]
+    _, _, first, whole = window_batch(pa.array(texts))
+    for i, t in enumerate(texts):
+        _, _, _, alone = window_batch(pa.array([t]))
+        assert alone.tolist() == whole[first[i] : first[i + 1]].tolist()
 
 
 def test_near_with_the_rarest_words_replaced(spark):
