@@ -10,6 +10,7 @@ from anchorloom.llm.leakage import PASSAGE, item_words, passage_matches, term_co
 from anchorloom.llm.residue import residue_entries
 from anchorloom.llm.spam import spam_pages
 from anchorloom.llm.tokenizer import decode_documents, encode_documents
+from anchorloom.runtime import Workspace
 from anchorloom.sources.tables import table
 
 
@@ -37,11 +38,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by language label, and documents whose ids do not decode to their text."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    ids = encode_documents(docs)
-    back = decode_documents(ids).withColumnRenamed("text", "decoded")
-    one = docs.join(ids, "doc_id").join(back, "doc_id")
-    return one.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.count_if(F.col("text") != F.col("decoded")).alias("n_broken"))
+    docs = table(spark, d, "documents").select(F.monotonically_increasing_id().alias("row"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    # A row number stands for the document, as ids may repeat or be null; encoded once.
+    docs = Workspace(spark, "encoded").write(docs, "docs")
+    ids = Workspace(spark, "encoded").write(encode_documents(docs.withColumnRenamed("row", "doc_id")), "ids")
+    back = decode_documents(ids).select(F.col("doc_id").alias("row"), F.xxhash64("text").alias("decoded"))
+    sizes = ids.select(F.col("doc_id").alias("row"), F.size("ids").alias("n"))
+    one = docs.select("row", "lang", F.xxhash64("text").alias("given")).join(sizes, "row").join(back, "row")
+    return one.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.count_if(F.col("given") != F.col("decoded")).alias("n_broken"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
