@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from anchorloom.settings import LINKABLE_STATES
 
+# --- Fixed value: a destination that may be linked.
+_SAFE_URL = r"(?i)\A(?:https?://|/(?![/\\]))"
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -33,7 +36,7 @@ def ingestible(url: Column | str, patterns: tuple[str, ...] = ()) -> Column:
 
 def safe_url(url: Column | str) -> Column:
     """http(s), or a path that browsers cannot take for another host."""
-    return F.coalesce(F.translate(_c(url), "\t\n\r", "").rlike(r"(?i)\A(?:https?://|/(?![/\\]))"), F.lit(False))
+    return F.coalesce(F.translate(_c(url), "\t\n\r", "").rlike(_SAFE_URL), F.lit(False))
 
 
 def contains_literal(text: Column | str, query: str) -> Column:

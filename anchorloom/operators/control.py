@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import time
-from contextlib import contextmanager
+import uuid
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 CANCEL_SECONDS, LOCK_EXTRA_SECONDS, HEARTBEAT_SECONDS = 600, 300, 10
@@ -32,17 +33,35 @@ class RunControl:
 
     @contextmanager
     def lock(self):
-        """Raises if another run holds the lock; a lock older than budget and margin is stale."""
-        if self.locked():
+        """Raises if another run holds the lock; a lock older than budget and margin is stale.
+
+        A stale lock is moved aside under a name of its own, which only one run can do; if
+        what was moved is not the stale one, a faster run had taken over and gets it back.
+        The lock is given back only by the run whose mark it bears.
+        """
+        path, mark = self.folder / "lock", uuid.uuid4().hex
+        held = self._read("lock")
+        if held and held["at"] + self.ttl > self.clock():
             raise RuntimeError("another run is active")
-        (self.folder / "lock").unlink(missing_ok=True)
-        fd = os.open(self.folder / "lock", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        if held:
+            aside = self.folder / f"stale-{mark}"
+            with suppress(FileNotFoundError):
+                os.rename(path, aside)
+                if json.loads(aside.read_text()) != held:
+                    with suppress(FileExistsError):
+                        os.link(aside, path)
+                aside.unlink()
+        try:
+            fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            raise RuntimeError("another run is active") from None
         with os.fdopen(fd, "w") as f:
-            json.dump({"at": self.clock(), "pid": os.getpid()}, f)
+            json.dump({"at": self.clock(), "mark": mark}, f)
         try:
             yield self
         finally:
-            (self.folder / "lock").unlink(missing_ok=True)
+            if (self._read("lock") or {}).get("mark") == mark:
+                path.unlink(missing_ok=True)
 
     def cancel(self) -> None:
         (self.folder / "cancel").write_text(json.dumps({"at": self.clock()}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorloom.operators import rebake, rules, sync
+from anchorloom.operators.control import RunControl
 from anchorloom.operators.phrases import generate_terms
 from anchorloom.operators.posts import linkable_posts
 from anchorloom.operators.render import plain_nodes, render_text
@@ -21,6 +23,8 @@ from anchorloom.sources.snapshots import SnapshotStore
 
 ENTRY = "id bigint, url string, title string, content_type string, source string, title_source string, priority int, enabled boolean, auto_discovered boolean, removed_from_source boolean, lastmod string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, title_fetch_failures int, next_title_fetch_at timestamp_ntz"
 TERM = "entry_id bigint, phrase string, normalized_phrase string, state string, origin string, review_reason string"
+RUN_COUNTS = ("seen", "excluded", "added", "retitled", "removed", "phrases_added", "phrases_removed")
+RUN = "started_at timestamp_ntz, success boolean, partial boolean, " + ", ".join(f"{k} bigint" for k in RUN_COUNTS) + ", error_details string, sources string"
 MEMBER = "entry_id bigint, sitemap_url string, last_seen_at timestamp_ntz"
 
 
@@ -39,14 +43,26 @@ def empty_catalog(spark: SparkSession) -> dict[str, DataFrame]:
     return {"entries": spark.createDataFrame([], ENTRY), "terms": spark.createDataFrame([], TERM), "memberships": spark.createDataFrame([], MEMBER), "changes": spark.createDataFrame([], "url string, entry_id bigint, change string")}
 
 
-def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[str, str]], docs: DataFrame, web: DataFrame, sitemaps: DataFrame, settings: Settings, now: datetime, partial: bool = False) -> SyncReport:
+def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[str, str]], docs: DataFrame, web: DataFrame, sitemaps: DataFrame, settings: Settings, now: datetime, partial: bool = False, control: RunControl | None = None) -> SyncReport:
+    """``sync_pass`` as the only run at a time: under the control's lock, and partial if the run
+    was cancelled or its time was up before the sweep."""
+    if control is None:
+        return sync_pass(spark, store, sources, docs, web, sitemaps, settings, now, partial)
+    with control.lock():
+        control.heartbeat(0)
+        return sync_pass(spark, store, sources, docs, web, sitemaps, settings, now, partial, lambda: control.cancelled() or control.out_of_time())
+
+
+def sync_pass(spark: SparkSession, store: SnapshotStore, sources: list[tuple[str, str]], docs: DataFrame, web: DataFrame, sitemaps: DataFrame, settings: Settings, now: datetime, partial: bool = False, stopped: Callable[[], bool] = lambda: False) -> SyncReport:
     """One pass: list, admit, compare, fetch titles, generate phrases, sweep, commit.
 
     ``docs`` (url, xml) and ``web`` (url, html) are what was fetched; ``sitemaps`` (url, status)
     says which children of indexes are read. The new tables become the store's next version.
     Without sources, with a source or an enabled child that cannot be read in full, with an
     index of more children than are read, or after a partial pass
-    nothing is removed or pruned. One time stamp holds for the whole pass.
+    nothing is removed or pruned. ``stopped`` is asked once titles are there; if so the pass
+    is partial. One time stamp holds for the whole pass. The version's ``runs`` hold a row for
+    each pass with its outcome and counters.
     """
     work = Workspace(spark, "sync")
     version = store.version()
@@ -72,6 +88,8 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
     plan = sync.refetch_plan(admitted, old["entries"], at)
     due = plan.where(F.col("decision") == "refetch").select("url").unionByName(change.where(F.col("change") == "added").select("url"))
     titles = work.write(sync.resolve_titles(sm.fetch_pages(due, web), settings), "titles")
+    if stopped():
+        clean, notes = False, [*notes, "stopped before the end"]
     outcome = sync.refetch_outcome(plan, titles, old["entries"])
     known = plan.join(outcome.select("entry_id", F.col("title").alias("n_title"), F.col("title_source").alias("n_source"), "failures", "retry_days", "outcome"), "entry_id", "left").select(
         F.col("entry_id").alias("id"), F.col("lastmod").alias("n_lastmod"), "n_title", "n_source", "failures", "retry_days", "outcome"
@@ -112,19 +130,24 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
     observed = listing.select(sm.page_url("loc").alias("url"), F.col("sitemap_id").alias("sitemap_url")).join(by_url, "url").select("entry_id", "sitemap_url").distinct().withColumn("last_seen_at", at)
     rest = old["memberships"].join(observed.select("entry_id", "sitemap_url"), ["entry_id", "sitemap_url"], "left_anti")
     if clean:
-        rest = rest.join(listing.select(F.col("sitemap_id").alias("sitemap_url")).distinct(), "sitemap_url", "left_anti")
+        # Of every sitemap read in full, also of one that lists nothing any more.
+        read = sm.read_in_full(src.select("url"), docs, sitemaps)
+        rest = rest.join(read.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_anti")
     members = observed.unionByName(rest.select("entry_id", "sitemap_url", "last_seen_at"))
 
     phrases = sync.phrase_diff(old["terms"], terms, entries) if version else sync.phrase_diff(terms.limit(0), terms, entries)
     phrases = work.write(phrases, "phrases")
     tables = {"entries": entries.drop("retitled"), "terms": terms, "memberships": members, "changes": change.where(F.col("change").isin("added", "restored", "removed") & (F.lit(clean) | (F.col("change") != "removed")))}
-    new_version = store.commit(tables, version)
     n = {r["change"]: r["n"] for r in tables["changes"].groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
     a = sync.admission_counts(admitted).first()
     p = {r["change"]: r["n"] for r in phrases.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"seen": a["seen"], "excluded": a["excluded"], **{k: n.get(k, 0) for k in ("added", "restored", "removed")}, "retitled": entries.where("retitled").count() - n.get("added", 0), "phrases_added": p.get("added", 0), "phrases_removed": p.get("removed", 0)}
     decision = rebake.gate(phrases, settings).first()["decision"] if settings.auto_rebake_on_changes else "none"
     counts["rebake"] = int(decision == "rebake")
+    run = [(now, not errors, bool(notes) or partial, *[counts[k] for k in RUN_COUNTS], "; ".join(errors + notes) or None, ", ".join(u for u, _ in sources))]
+    runs = spark.createDataFrame(run, RUN)
+    tables["runs"] = store.read("runs", version).unionByName(runs) if store.has("runs", version) else runs
+    new_version = store.commit(tables, version)
     work.clear()
     return SyncReport(new_version, clean, counts, errors, notes)
 

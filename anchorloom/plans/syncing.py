@@ -233,7 +233,7 @@ def changed_phrases(c: Catalog) -> DataFrame:
 
 
 _WAVE = LISTED + (
-    ", w AS (SELECT DISTINCT trim(normalized_phrase, chr(32) || chr(9) || chr(10) || chr(13)) AS phrase FROM t WHERE origin = 'manual' AND length(trim(normalized_phrase, chr(32) || chr(9) || chr(10) || chr(13))) >= 3 ORDER BY phrase LIMIT 1000), "
+    ", w AS (SELECT DISTINCT trim(normalized_phrase, chr(32) || chr(9) || chr(10) || chr(13)) AS phrase FROM t WHERE origin = 'manual' AND length(trim(normalized_phrase, chr(32) || chr(9) || chr(10) || chr(13))) >= 3), "
     "sp AS (SELECT lower(x) AS x FROM (SELECT unnest([phrase, replace(phrase, '''', '’'), replace(phrase, '''', '‘')]) AS x FROM w)), "
     "cd AS (SELECT DISTINCT p.id FROM p JOIN sp ON contains(lower(p.raw), sp.x) WHERE p.deleted_at IS NULL) "
 )
@@ -244,6 +244,12 @@ def rebake_candidates(c: Catalog) -> DataFrame:
     return rebake.candidates(c.posts, changed_phrases(c)).select("id")
 
 
+@query(_WAVE.replace("origin = 'manual'", "state IN ('auto_active', 'approved')") + "SELECT id FROM cd")
+def rebake_all_phrases(c: Catalog) -> DataFrame:
+    """A wave over every phrase that can link."""
+    return rebake.candidates(c.posts, rebake.all_phrases(c.terms)).select("id")
+
+
 @query(_WAVE + "SELECT id FROM cd WHERE id > 500 ORDER BY id LIMIT 200")
 def rebake_batch(c: Catalog) -> DataFrame:
     return rebake.batch(c.posts, changed_phrases(c), after_id=500, budget=SETTINGS.max_rebakes_per_job_run)

@@ -79,9 +79,9 @@ def page_state_counts(c: Catalog) -> DataFrame:
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x00]+', ''), '[\s\x00]+$', '')"
 
 
-@query(PAGES + f"SELECT url, id, nullif({_STRIP.format('CASE WHEN id % 7 < 2 THEN title ELSE title || chr(32) || chr(124) || chr(32) || ' + chr(39) + 'Example' + chr(39) + ' END')}, '') AS page_title FROM pages")
+@query(PAGES + f"SELECT url, id, nullif({_STRIP.format('CASE WHEN id % 7 < 2 THEN title ELSE title || chr(32) || chr(124) || chr(32) || ' + chr(39) + 'Example' + chr(39) + ' END')}, '') AS page_title FROM every_page")
 def extract_title(c: Catalog) -> DataFrame:
-    return pages(c).select("url", "id", title_from_html("html").alias("page_title"))
+    return pages(c, answered=False).select("url", "id", title_from_html("html").alias("page_title"))
 
 
 def _cut(step: str, prev: str) -> str:
@@ -158,7 +158,7 @@ def gate_terms(c: Catalog) -> DataFrame:
 
 # --- Sitemap documents
 _BLOCKS = "b AS (SELECT url, unnest(string_split_regex(xml, '(?i)</(url|sitemap)>')) AS block, unnest(range(len(string_split_regex(xml, '(?i)</(url|sitemap)>')))) AS position FROM docs), "
-_LOC = r"replace(replace(regexp_extract(block, '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1), '&lt;', '<'), '&amp;', '&')"
+_LOC = r"replace(replace(replace(replace(regexp_extract(block, '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1), '&lt;', '<'), '&#x77;', 'w'), '&#98;', 'b'), '&amp;', '&')"
 PARSED = DOCS + ", " + _BLOCKS + rf"parsed AS (SELECT url, position::INTEGER AS position, {_LOC} AS loc, nullif(regexp_extract(block, '(?i)<lastmod>([^<\s]+)</lastmod>', 1), '') AS lastmod FROM b WHERE {_LOC} <> '') "
 
 
@@ -195,17 +195,17 @@ def sitemap_measure(c: Catalog) -> DataFrame:
 
 @query(
     PARSED + ", f AS (SELECT url, regexp_replace(regexp_replace(loc, '^\\s+', ''), '[\\s/]+$', '') AS page FROM parsed QUALIFY row_number() OVER (PARTITION BY url ORDER BY position) <= 20), "
-    "k AS (SELECT DISTINCT url AS page FROM e WHERE enabled AND id % 3 <> 0), "
+    "k AS (SELECT DISTINCT url AS page FROM e WHERE enabled AND first_seen_at IS NOT NULL), "
     "a AS (SELECT f.url, count(*) AS n_sample, count(k.page) AS n_known FROM f LEFT JOIN k USING (page) WHERE f.page ILIKE 'http%' AND NOT " + _EXCLUDED.format("f.page") + " GROUP BY f.url) "
     "SELECT *, n_known * 2 > n_sample AS adopted FROM a"
 )
 def sitemap_adopt(c: Catalog) -> DataFrame:
-    return sm.adopt(sitemap_docs(c), c.entries.where(F.col("enabled") & (F.col("id") % 3 != 0)), PATTERNS)
+    return sm.adopt(sitemap_docs(c), c.entries.where(F.col("enabled") & F.col("first_seen_at").isNotNull()), PATTERNS)
 
 
 @query(
-    VIEWS + ", old AS (SELECT url, min(parent_url) AS parent_url, min(content_type) AS content_type, min(status) AS status, bool_or(configured) AS configured FROM s WHERE id % 4 <> 0 GROUP BY url), "
-    "new AS (SELECT url, min(parent_url) AS parent_url, min(content_type) AS content_type, bool_or(configured) AS configured FROM s WHERE id % 4 <> 1 GROUP BY url) "
+    VIEWS + ", old AS (SELECT url, min(parent_url) AS parent_url, min(content_type) AS content_type, min(status) AS status, bool_or(configured) AS configured FROM s WHERE last_fetched_at IS NOT NULL GROUP BY url), "
+    "new AS (SELECT url, min(parent_url) AS parent_url, min(content_type) AS content_type, bool_or(configured) AS configured FROM s WHERE last_seen_at IS NOT NULL GROUP BY url) "
     "SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.parent_url ELSE o.parent_url END AS parent_url, coalesce(n.content_type, o.content_type) AS content_type, "
     "CASE WHEN n.configured THEN 'enabled' WHEN o.url IS NULL THEN 'pending' ELSE o.status END AS status, "
     "coalesce(n.configured, false) OR (NOT EXISTS (SELECT 1 FROM new WHERE configured) AND coalesce(o.configured, false)) AS configured, "
@@ -213,8 +213,8 @@ def sitemap_adopt(c: Catalog) -> DataFrame:
 )
 def sitemap_upsert(c: Catalog) -> DataFrame:
     cols = [F.min("parent_url").alias("parent_url"), F.min("content_type").alias("content_type"), F.max("configured").alias("configured")]
-    old = c.sitemaps.where(F.col("id") % 4 != 0).groupBy("url").agg(*cols, F.min("status").alias("status"))
-    return sm.upsert(old, c.sitemaps.where(F.col("id") % 4 != 1).groupBy("url").agg(*cols))
+    old = c.sitemaps.where(F.col("last_fetched_at").isNotNull()).groupBy("url").agg(*cols, F.min("status").alias("status"))
+    return sm.upsert(old, c.sitemaps.where(F.col("last_seen_at").isNotNull()).groupBy("url").agg(*cols))
 
 
 _REWRITES = ("www.tarnwick.example=inner:8080", "Shop.Velmora.example=http://10.0.0.1", "bad row", "=x")

@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorloom.functions.filters import ingestible
+from anchorloom.functions.text import unescape_html
 from anchorloom.functions.urls import page_url, strip
 
 CHILDREN_PER_INDEX = 100
 ADOPTION_SAMPLE = 20
-
-
-def xml_unescape(c: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+# --- Fixed values: the elements of the sitemap format.
+_BLOCK_END, _LOC, _LASTMOD = r"(?i)</(?:url|sitemap)>", r"(?i)<loc>\s*([^<\s]+)\s*</loc>", r"(?i)<lastmod>\s*([^<\s]+)\s*</lastmod>"
 
 
 def is_complete(xml: Column | str) -> Column:
@@ -31,10 +28,10 @@ def sitemap_kind(xml: Column | str) -> Column:
 
 def parse_sitemap(docs: DataFrame, url: str = "url", xml: str = "xml") -> DataFrame:
     """(url, position, loc, lastmod): blocks in document order; blocks without a loc are dropped."""
-    blocks = docs.select(F.col(url).alias("url"), F.posexplode(F.split(xml, r"(?i)</(?:url|sitemap)>")).alias("position", "block"))
-    loc = F.regexp_extract("block", r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1)
-    lastmod = F.nullif(F.regexp_extract("block", r"(?i)<lastmod>\s*([^<\s]+)\s*</lastmod>", 1), F.lit(""))
-    return blocks.select("url", "position", xml_unescape(loc).alias("loc"), lastmod.alias("lastmod")).where(F.col("loc") != "")
+    blocks = docs.select(F.col(url).alias("url"), F.posexplode(F.split(xml, _BLOCK_END)).alias("position", "block"))
+    loc = F.regexp_extract("block", _LOC, 1)
+    lastmod = F.nullif(F.regexp_extract("block", _LASTMOD, 1), F.lit(""))
+    return blocks.select("url", "position", unescape_html(loc).alias("loc"), lastmod.alias("lastmod")).where(F.col("loc") != "")
 
 
 def _children(sources: DataFrame, docs: DataFrame, cap: int) -> DataFrame:
@@ -58,6 +55,13 @@ def unread(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int =
     return failed.select("source", F.col("url").alias("child"), F.lit(None).cast("long").alias("n_children")).unionByName(over.select("source", F.lit(None).cast("string").alias("child"), "n_children"))
 
 
+def read_in_full(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
+    """(url) of the complete urlsets that ``expand`` reads, also those that list nothing."""
+    whole = docs.where(is_complete("xml") & (sitemap_kind("xml") == "urlset")).select("url")
+    read = sources.select(strip("url").alias("url")).unionByName(_children(sources, docs, cap).join(_enabled(sitemaps), "url").select("url"))
+    return read.join(whole, "url", "left_semi").distinct()
+
+
 def expand(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
     """(source, listed_in, position, loc, lastmod) of what sources list, through their indexes.
 

@@ -159,3 +159,63 @@ def test_streams(spark, tmp_path):
     assert sorted(x["clicks"] for x in click_windows(ev).collect()) == [1, 2]
     p = spark.createDataFrame([('{"link_type":"a","destination":"u"}', "/t/slug/42"), ("broken", "/x")], "payload string, url string")
     assert [(x["link_type"], x["topic_id"]) for x in click_payload(p).collect()] == [("a", "42"), (None, None)]
+
+
+def test_two_writers(spark, tmp_path):
+    """The slower of two writers of one version fails and leaves the winner's files alone."""
+    a, b = SnapshotStore(spark, str(tmp_path / "cat")), SnapshotStore(spark, str(tmp_path / "cat"))
+    version = b.version
+    b.version = lambda: 0
+    assert a.commit({"terms": spark.range(3)}, 0) == 1
+    with pytest.raises(RuntimeError):
+        b.commit({"terms": spark.range(9)}, 0)
+    b.version = version
+    assert a.read("terms").count() == b.read("terms").count() == 3
+
+
+def test_stale_lock(tmp_path):
+    now = [1000.0]
+    run = lambda: RunControl(str(tmp_path), 1, clock=lambda: now[0])
+    with run().lock():
+        now[0] += 10_000
+        with run().lock():
+            with pytest.raises(RuntimeError), run().lock():
+                pass
+        assert not run().locked()
+        # The lock of a run that took over is not given back by the run it was taken from.
+        fresh = run().lock()
+        fresh.__enter__()
+    assert run().locked()
+    fresh.__exit__(None, None, None)
+    assert not run().locked()
+
+
+def test_references(spark):
+    from anchorloom.functions.text import title_from_html, unescape_html
+
+    cases = {
+        "Caf&#xe9;": "Café", "x &#128512; y": "x 😀 y", "&#X27;a": "'a", "&amp;lt;": "&lt;", "&amp;#39;": "&#39;", "&nbsp; &copy;": "&nbsp; &copy;", "&#x110000;&#xD800;&#99999999999;": "&#x110000;&#xD800;&#99999999999;",
+        "&#0000000065;&lt;&gt;&quot;&apos;": "A<>\"'", "a & b": "a & b", "": "", "&#x1F527;&#8217;&#x41;": "🔧’A", "&AMP;": "&AMP;",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, w string")
+    assert [tuple(r) for r in df.where(~unescape_html("t").eqNullSafe(F.col("w"))).collect()] == []
+    html = spark.createDataFrame([("<title>Don&#x2019;t &#x1F600;</title>",)], "h string")
+    assert html.select(title_from_html("h")).first()[0] == "Don’t 😀"
+    assert sm.parse_sitemap(spark.createDataFrame([("s", "<urlset><url><loc>https://a/&#x62;?q=1&amp;r=&#50;</loc></url></urlset>")], "url string, xml string")).first()["loc"] == "https://a/b?q=1&r=2"
+
+
+def test_waves_of_any_size(spark):
+    """More phrases than one automaton holds, against plain containment."""
+    posts = spark.createDataFrame([(k, f"text with w{k:04d}x inside", None) for k in range(0, 4000, 3)] + [(9000, None, None), (9001, "w0001x", T)], "id bigint, raw string, deleted_at timestamp_ntz")
+    ph = rebake.wave_phrases(spark.range(3000).select(F.format_string("w%04dx", "id").alias("phrase")))
+    want = set(range(0, 3000, 3))
+    assert ph.count() == 3000
+    for most in (rebake.SLICE_CHARS, 4000):
+        assert {r["id"] for r in rebake.candidates(posts, ph, most).collect()} == want
+
+
+def test_suffixes_without_end(spark):
+    from anchorloom.functions.text import clean_title
+
+    df = spark.createDataFrame([("Bow Saw" + " | A" * 120,), ("Bow Saw",), ("| A",)], "t string")
+    assert [r[0] for r in df.select(clean_title("t", ("| A",))).collect()] == ["Bow Saw", "Bow Saw", None]

@@ -2,8 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from anchorloom.operators.control import RunControl
+
 from anchorloom.pipeline import catalog_rules, link_posts, sync_catalog
 from anchorloom.settings import Settings
 from anchorloom.sources.snapshots import SnapshotStore
@@ -57,6 +60,8 @@ def test_passes(spark, tmp_path):
     assert r.counts["removed"] == 2
     assert {x["url"] for x in store.read("entries").where("removed_from_source").collect()} == {"https://a/y-page", "https://a/z"}
     assert store.read("memberships").count() == 2
+    runs = store.read("runs").orderBy("started_at").collect()
+    assert [r["removed"] for r in runs] == [0, 0, 0, 0, 2] and [r["success"] for r in runs] == [True, True, False, False, True]
 
     posts = spark.createDataFrame([(1, "A gadget frame kit and a zephyr pump house.", "regular", 1, None, False)], "id bigint, raw string, post_type string, topic_id bigint, category_id bigint, private boolean")
     cats = spark.createDataFrame([], "id bigint, parent_id bigint")
@@ -71,6 +76,30 @@ def test_passes(spark, tmp_path):
     assert store.read("changes").where(F.col("change") == "restored").count() == 1
 
 
+def test_emptied_sitemap_and_control(spark, tmp_path):
+    """A sitemap read in full that lists nothing any more keeps no memberships; a run that is
+    stopped removes nothing; two runs do not go side by side."""
+    store = SnapshotStore(spark, str(tmp_path / "cat"))
+    maps = spark.createDataFrame([], "url string, status string")
+    web = spark.createDataFrame([], "url string, html string")
+    control = RunControl(str(tmp_path / "control"))
+
+    def run(urls, day):
+        docs = spark.createDataFrame([("https://a/s.xml", urlset(*urls)), ("https://a/t.xml", urlset(("https://a/t", "1")))], "url string, xml string")
+        return sync_catalog(spark, store, [("https://a/s.xml", "wiki"), ("https://a/t.xml", "wiki")], docs, web, maps, Settings(), T + timedelta(days=day), control=control)
+
+    run([("https://a/x", "1")], 0)
+    control.cancel()
+    r = run([], 1)
+    assert not r.clean and r.counts["removed"] == 0 and store.read("memberships").count() == 2
+    (tmp_path / "control" / "cancel").unlink()
+    with control.lock(), pytest.raises(RuntimeError):
+        run([], 2)
+    r = run([], 2)
+    assert r.clean and r.counts["removed"] == 1
+    assert [m["sitemap_url"] for m in store.read("memberships").collect()] == ["https://a/t.xml"]
+
+
 def test_cli(spark, capsys):
     from anchorloom.cli import preview, report
     from anchorloom.sources.catalog import Catalog
