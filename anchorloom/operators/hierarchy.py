@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 
 from anchorloom.functions.urls import resource_key
 from anchorloom.operators.current import current_rows
-from anchorloom.operators.skew import lookup
+from anchorloom.operators.skew import HOT_ROWS, lookup
 from anchorloom.runtime import Workspace
 
-#: Children of one parent that one task extends; more are spread by a salt.
-CHILDREN_PER_TASK = 200_000
-#: Levels that one job extends before the frontier is written.
-LEVELS_PER_JOB = 4
-
-
 def url_links(rows: DataFrame, id_col: str = "id", url: str = "url", parent_url: str = "parent_url", updated_at: str = "updated_at") -> DataFrame:
     """(id, parent): the current row of each id and the id of its parent, null for a root.
 
@@ -30,63 +24,57 @@ def url_links(rows: DataFrame, id_col: str = "id", url: str = "url", parent_url:
     return lookup(now.select("id", "key"), owners, ["key"], "left", spread="id").select("id", "parent")
 
 
-def hierarchy(spark: SparkSession, links: DataFrame, children_per_task: int = CHILDREN_PER_TASK, work: Workspace | None = None) -> DataFrame:
+def _ids(base: DataFrame) -> str:
+    return f"array<{dict(base.dtypes)['id']}>"
+
+
+def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = True, hot_rows: int = HOT_ROWS, work: Workspace | None = None) -> DataFrame:
     """One row (id, parent, root_id, depth, path, in_cycle) per node of (id, parent).
 
-    ``parent`` null, or not among the ids, makes a root: depth 0, its own root. Each
-    level joins the frontier to the links by parent; ``path`` is the array of ids from
-    the root down to the node. Nodes that no frontier reaches are on a loop or below one:
-    depth -1, ``root_id`` the smallest id on that loop, ``path`` null, ``in_cycle`` true
-    on the loop itself. Ids must be unique and not null. A parent with very many children
-    is spread over tasks by a salt. Empty input gives no rows.
+    ``parent`` null, or not among the ids, makes a root: depth 0, its own root. Every other
+    node starts on its parent, and each round joins the frontier, the nodes whose ancestor
+    is not yet a root, to the ancestor pairs known so far, so that it advances by 1, 2, 4 ...
+    levels: as many rounds as the depth has binary digits. ``path`` is the array of ids
+    from the root down to the node, null if ``paths`` is false. Depths have no gaps, so once
+    a round brings no node to a root, the rest is on a loop or below one: depth -1,
+    ``root_id`` the smallest id on that loop, ``path`` null, ``in_cycle`` true on the loop
+    itself. Ids must be unique and not null. A parent with very many children, or a root
+    of very many nodes, is spread over tasks by a salt. Empty input gives no rows.
     """
     work = work or Workspace(spark, "hierarchy")
     base = work.write(links.select("id", "parent"), "links")
-    fan = base.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    fan = fan.select("id", F.ceil(F.col("n") / children_per_task).cast("int").alias("salts"))
-    # A node with children carries how many salts they are spread over; the same number is
-    # on its children's side, so hot parents are replicated as often as needed and no more.
-    nodes = base.join(fan, "id", "left")
-    owners = fan.join(base.select("id"), "id").select(F.col("id").alias("parent"), F.col("salts").alias("p_salts"))
-    nodes = lookup(nodes, owners, ["parent"], "left", spread="id")
-    nodes = work.write(nodes.withColumn("p_salt", F.pmod(F.xxhash64("id"), F.coalesce("p_salts", F.lit(1))).cast("int")), "nodes")
-    work.drop(base)
-    root = F.col("p_salts").isNull()
-    edges = nodes.where(~root).select("id", "parent", "p_salt", "salts")
-    level = nodes.where(root).select("id", "parent", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("path"), "salts")
-    reached: list[DataFrame] = []
-    while True:
-        batch = [level]
-        for _ in range(LEVELS_PER_JOB - bool(not reached)):
-            up = batch[-1].where(F.col("salts").isNotNull()).select(
-                F.col("id").alias("parent"), "root_id", "depth", "path", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt")
-            )
-            batch.append(
-                edges.join(up, ["parent", "p_salt"]).select("id", "parent", "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("id")).alias("path"), "salts")
-            )
-        first = not reached
-        rows = batch[0] if first else batch[1]
-        for b in batch[1 if first else 2 :]:
-            rows = rows.unionByName(b)
-        rows = work.write(rows, "levels")
-        last = (len(reached) + 1) * LEVELS_PER_JOB - 1
-        reached.append(rows)
-        level = rows.where((F.col("depth") == last) & F.col("salts").isNotNull())
-        if level.isEmpty():
+    known = base.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    nodes = lookup(base, known, ["parent"], "left", spread="id", hot_rows=hot_rows)
+    # path holds the ids below the ancestor ``up``; a root is its own ancestor.
+    root = F.col("known").isNull()
+    none = F.lit(None).cast(_ids(base))
+    state = nodes.select(
+        "id", "parent", F.when(root, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"),
+        (F.when(root, F.array().cast(_ids(base))).otherwise(F.array("id")) if paths else none).alias("path"), root.alias("done"),
+    )
+    state = work.write(state, "state")
+    done, open_ = state.where("done"), state.where(~F.col("done"))
+    left = open_.count()
+    while left:
+        # The ancestor's own way, from the last round.
+        above = done.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
+        step = lookup(open_, above, ["up"], spread="id", hot_rows=hot_rows, rows=left).select(
+            "id", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.concat("path2", "path") if paths else none).alias("path"), F.col("done2").alias("done")
+        )
+        step = work.write(step, "state")
+        open_ = step.where(~F.col("done"))
+        still = open_.count()
+        if still == left:
             break
-    tree = reached[0]
-    for r in reached[1:]:
-        tree = tree.unionByName(r)
-    loose = work.write(nodes.select("id", "parent").join(tree.select("id"), "id", "left_anti"), "loose")
-    out = tree.select("id", "parent", "root_id", "depth", "path", F.lit(False).alias("in_cycle"))
-    n = loose.count()
-    if n == 0:
+        done, left = done.unionByName(step.where("done")), still
+    out = done.select("id", "parent", F.col("up").alias("root_id"), "depth", (F.concat(F.array("up"), "path") if paths else none).alias("path"), F.lit(False).alias("in_cycle"))
+    if not left:
         return out
-    loops = _loops(work, loose, n)
-    return out.unionByName(loops.select("id", "parent", "root_id", F.lit(-1).cast("long").alias("depth"), F.lit(None).cast(out.schema["path"].dataType).alias("path"), "in_cycle"))
+    loops = _loops(work, open_.select("id", "parent"), left, hot_rows)
+    return out.unionByName(loops.select("id", "parent", "root_id", F.lit(-1).cast("long").alias("depth"), none.alias("path"), "in_cycle"))
 
 
-def _loops(work: Workspace, loose: DataFrame, n: int) -> DataFrame:
+def _loops(work: Workspace, loose: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nodes on or below loops. After k rounds a node knows its ancestor 2^k steps up and
     the smallest id on the way; with 2^k >= n that ancestor is on the loop, and its own
     way covers the whole loop. An ancestor after 2^k steps is on a loop, and every node of
@@ -94,12 +82,12 @@ def _loops(work: Workspace, loose: DataFrame, n: int) -> DataFrame:
     ways = loose.select("id", F.col("parent").alias("up"), F.col("id").alias("least"))
     for _ in range(max(1, math.ceil(math.log2(n))) if n > 1 else 0):
         above = ways.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
-        new = work.write(lookup(ways, above, ["up"], spread="id").select("id", F.col("up2").alias("up"), F.least("least", "least2").alias("least")), "ways")
+        new = work.write(lookup(ways, above, ["up"], spread="id", hot_rows=hot_rows, rows=n).select("id", F.col("up2").alias("up"), F.least("least", "least2").alias("least")), "ways")
         work.drop(ways)
         ways = new
     own = ways.select(F.col("id").alias("up"), F.col("least").alias("root_id"))
     on_loop = ways.select(F.col("up").alias("id")).distinct().withColumn("on", F.lit(True))
-    named = lookup(ways.select("id", "up"), own, ["up"], spread="id")
+    named = lookup(ways.select("id", "up"), own, ["up"], spread="id", hot_rows=hot_rows, rows=n)
     return loose.join(named.select("id", "root_id"), "id").join(on_loop, "id", "left").select("id", "parent", "root_id", F.coalesce("on", F.lit(False)).alias("in_cycle"))
 
 

@@ -27,16 +27,17 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, counted:
     return [(*[r[k] for k in keys], math.ceil(r["n"] / floor) + 1) for r in top if r["n"] > floor]
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Join ``df`` to ``table``, whose ``keys`` are unique, on equally named ``keys``.
 
     Rows of a hot key are spread over several partitions by a salt (hash of
     ``spread``, or of all columns) and only the matching rows of ``table`` are
     repeated for it. Without hot keys this is the plain join, which Spark turns into
     a broadcast only if the measured size of ``table`` is below its threshold.
-    ``how`` is ``inner`` or ``left``. Null keys match nothing. Nothing is dropped.
+    ``how`` is ``inner`` or ``left``. Null keys match nothing. Nothing is dropped. ``rows``
+    is the number of rows of ``df`` where it is known: so few cannot hold a hot key.
     """
-    hot = hot_keys(df, keys, hot_rows, counted)
+    hot = [] if rows is not None and rows <= hot_rows else hot_keys(df, keys, hot_rows, counted)
     if not hot:
         return df.join(table, keys, how)
     spark = df.sparkSession

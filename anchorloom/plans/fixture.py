@@ -84,7 +84,7 @@ def pages(c: Catalog, answered: bool = True) -> DataFrame:
     """(id, url, html, title): the web; pages whose title could not be fetched do not answer.
     Titles hold references of all kinds, of the astral planes, too."""
     esc = F.col("title")
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"), ("é", "&#xe9;"), ("ü", "&#XFC;"), ("a", "&#97;"), ("🔧", "&#x1F527;"), ("’", "&#8217;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"), ("é", "&#xe9;"), ("ü", "&#XFC;"), ("K", "&#75;"), ("🔧", "&#x1F527;"), ("’", "&#8217;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
     og = F.when(F.col("id") % 7 == 0, F.concat(F.lit('<meta property="og:title" content="'), esc, F.lit('">'))).when(F.col("id") % 7 == 1, F.concat(F.lit('<meta content="'), esc, F.lit('" property="og:title">'))).otherwise("")
     html = F.concat(F.lit("<html><head>"), og, F.lit("<title>"), esc, F.lit(" | Example</title></head><body><p>Text</p></body></html>"))

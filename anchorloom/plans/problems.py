@@ -19,12 +19,12 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("run_id", "change_type").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(spark, url_links(table(spark, d, "sitemap_autolink_sitemaps")))
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(spark, url_links(table(spark, d, "sitemap_autolink_sitemaps")), paths)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select(F.col("id").alias("sitemap_id"), "root_id", F.col("depth").alias("tree_depth"))
+    return _tree(spark, d, paths=False).select(F.col("id").alias("sitemap_id"), "root_id", F.col("depth").alias("tree_depth"))
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_hierarchy_random(spark, per_task):
     parent |= {100: 100, 101: 102, 102: 101, 103: 102} | {200 + i: 199 + i for i in range(1, 15)} | {200: None}
     df = spark.createDataFrame(list(parent.items()), "id bigint, parent bigint").withColumn("parent", F.when(F.col("parent") != 999, F.col("parent")))
     parent = {k: None if v == 999 else v for k, v in parent.items()}
-    tree = hierarchy(spark, df, per_task)
+    tree = hierarchy(spark, df, hot_rows=per_task)
     got = {r["id"]: (r["root_id"], r["depth"], r["in_cycle"]) for r in tree.collect()}
     assert got == brute_tree(parent)
     pairs = {(r["ancestor_id"], r["descendant_id"], r["distance"]) for r in descendants(tree).collect()}
@@ -108,6 +108,15 @@ def test_hierarchy_random(spark, per_task):
     assert len(pairs) == sum(max(0, d) for _, d, _ in got.values())
 
 
+def test_hierarchy_deep_chain(spark):
+    """2,000 levels in rounds of doubling, beside a loop, without paths."""
+    links = [(k, k - 1 if k else None) for k in range(2000)] + [(5000 + k, 5000 + (k + 1) % 3) for k in range(3)] + [(5010, 5001)]
+    df = spark.createDataFrame(links, "id bigint, parent bigint")
+    got = {r["id"]: (r["root_id"], r["depth"], r["in_cycle"]) for r in hierarchy(spark, df, paths=False).collect()}
+    assert all(got[k] == (0, k, False) for k in range(2000))
+    assert got[5010] == (5000, -1, False) and got[5002] == (5000, -1, True)
+
+
 def test_hierarchy_empty_and_roots(spark):
     assert hierarchy(spark, spark.createDataFrame([], "id bigint, parent bigint")).count() == 0
     assert [tuple(r) for r in hierarchy(spark, spark.createDataFrame([(5, None)], "id bigint, parent bigint")).select("root_id", "depth", "path").collect()] == [(5, 0, [5])]
