@@ -1,23 +1,25 @@
 """Every occurrence of every phrase at word boundaries.
 
 Boundaries are single characters, so matches start exactly at the starts of tokens. A
-ruleset of proven size becomes a trie of tokens that each Python worker builds once and
-walks over Arrow batches, without a shuffle. A larger one is joined: tokens of all texts
+ruleset of proven size becomes a trie of tokens that each Python worker builds once for its
+digest and walks over Arrow batches, without a shuffle. A larger one is joined: tokens of all texts
 meet the rules on up to four tokens, and only texts with a hit are looked at again.
 Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from anchorloom.functions.text import normalize_text
-from anchorloom.runtime import spread
+from anchorloom.runtime import Workspace, spread
 
 # --- Fixed values: characters that end a word. Hyphen, slash, apostrophe, underscore,
 # asterisk, angle brackets and dashes do not.
@@ -29,7 +31,6 @@ MAX_SENT_PHRASES, MAX_SENT_CHARS = 200_000, 8_000_000
 #: Tokens of a phrase that form the join key.
 KEY_TOKENS = 4
 _JOIN = "\x01"
-_MATCH = "array<struct<start:int,length:int,phrase:string>>"
 _SPLIT = re.compile("([" + re.escape(BOUNDARY) + "])").split
 
 
@@ -63,28 +64,51 @@ def walk(trie: dict, norm: str) -> list[tuple[int, int, str]]:
     return out
 
 
-#: The trie of the ruleset in use, in each Python worker.
+#: The trie of the ruleset in use, in each Python worker, by the ruleset's digest.
 _TRIES: dict[str, dict] = {}
+#: Rulesets that were sent to the workers, by session and digest: a ruleset that comes again,
+#: as with every micro-batch of a stream, is neither sent nor built again. The last ones only.
+_SENT: dict[tuple[str, str], object] = {}
+KEPT = 4
 
 
-def _by_trie(base: DataFrame, keys: list[str], phrases: list[str]) -> DataFrame:
-    sent = base.sparkSession.sparkContext.broadcast(phrases)
+def _send(spark: SparkSession, phrases: list[str]) -> tuple[str, object]:
+    """(digest, broadcast) of a sorted list of phrases."""
+    digest = hashlib.sha256("\x00".join(phrases).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, digest)
+    if key not in _SENT:
+        while len(_SENT) >= KEPT:
+            _SENT.pop(next(iter(_SENT)))
+        _SENT[key] = spark.sparkContext.broadcast(phrases)
+    return digest, _SENT[key]
+
 
-    mark = uuid.uuid4().hex
+def _by_trie(base: DataFrame, keys: list[str], phrases: list[str]) -> DataFrame:
+    digest, sent = _send(base.sparkSession, sorted(phrases))
 
     def trie() -> dict:
-        if mark not in _TRIES:
+        if digest not in _TRIES:
             _TRIES.clear()
-            _TRIES[mark] = build_trie(sent.value)
-        return _TRIES[mark]
-
-    @F.pandas_udf(_MATCH)
-    def matches(texts: pd.Series) -> pd.Series:
-        t = trie()
-        return texts.map(lambda s: [] if s is None else [{"start": a, "length": n, "phrase": p} for a, n, p in walk(t, s)])
-
-    found = base.select(*keys, "node_index", F.explode(matches("norm")).alias("m"))
-    return found.select(*keys, "node_index", "m.start", "m.length", "m.phrase")
+            _TRIES[digest] = build_trie(sent.value)
+        return _TRIES[digest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, start, length, phrase = [], [], [], []
+            t = trie()
+            for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for at, n, p in walk(t, text):
+                    row.append(i)
+                    start.append(at)
+                    length.append(n)
+                    phrase.append(p)
+            at = pa.array(row, pa.int64())
+            kept = [b.column(i).take(at) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(phrase, pa.string())], names=[*b.schema.names[:-1], "start", "length", "phrase"])
+
+    texts = base.select(*keys, "node_index", "norm").where(F.col("norm").isNotNull())
+    head = StructType([f for f in texts.schema.fields if f.name != "norm"])
+    return texts.mapInArrow(run, head.add("start", IntegerType()).add("length", IntegerType()).add("phrase", StringType()))
 
 
 def _by_join(base: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
@@ -112,7 +136,8 @@ def scan(nodes: DataFrame, rules: DataFrame, keys: list[str] = ["doc_id"], max_p
     two characters and null texts give nothing; very long texts are scanned whole.
     """
     base = spread(nodes.where(F.length("text") >= 2).select(*keys, "node_index", "text"), *keys).select(*keys, "node_index", normalize_text("text").alias("norm"))
-    phrases = rules.where(F.col("phrase") != "").select("phrase")
+    # Compiled once: counted, sent or joined from what is written.
+    phrases = Workspace(base.sparkSession, "rules").write(rules.where(F.col("phrase") != "").select("phrase"), "phrases")
     size = phrases.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("chars")).first()
     if size["n"] <= max_phrases and size["chars"] <= max_chars:
         return _by_trie(base, keys, [r["phrase"] for r in phrases.collect()])

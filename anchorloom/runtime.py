@@ -30,11 +30,14 @@ def local_session(app: str = "anchorloom", cores: int | str = "*", partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, the local bench) is a local folder made and set.
+    Only where that is unset and the master is local (tests, the bench) is a local folder made
+    and set; on a cluster it must be given.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     given = "file://" + tempfile.mkdtemp(prefix="anchorloom-")
     spark.conf.set("spark.checkpoint.dir", given)
     return given

@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PAGE_BYTES, SITEMAP_BYTES, SECONDS, REDIRECTS = 512 * 1024, 8 * 1024 * 1024, 30.0, 3
 
@@ -48,7 +49,8 @@ def http_get(url: str, max_bytes: int = PAGE_BYTES, redirects: int = REDIRECTS,
 
 
 def fetch_urls(urls: DataFrame, get: Callable[[str], bytes | None] = http_get, delay_seconds: float = 0.5) -> DataFrame:
-    """(url, body, seconds): each task fetches its own urls, politely; null body: failed."""
+    """(url, body, seconds): the urls of a host are fetched by one task, one after the other with
+    ``delay_seconds`` between them; null body: failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -59,4 +61,15 @@ def fetch_urls(urls: DataFrame, get: Callable[[str], bytes | None] = http_get, d
                 time.sleep(delay_seconds)
             yield pd.DataFrame(rows, columns=["url", "body", "seconds"])
 
-    return urls.select("url").mapInPandas(run, "url string, body binary, seconds double")
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][^:]*://([^/?#]*)", 1))
+    return urls.select("url").repartition(host).mapInPandas(run, "url string, body binary, seconds double")
+
+
+def fetch_telemetry(fetched: DataFrame, slowest: int = 5) -> DataFrame:
+    """One row of what ``fetch_urls`` gave: n_fetches, n_failed, total_seconds, mean_seconds and
+    the ``slowest`` fetches as (seconds, url), the slowest first, ties by url."""
+    top = fetched.select("url", "seconds").orderBy(F.desc("seconds"), "url").limit(slowest)
+    agg = fetched.agg(F.count(F.lit(1)).alias("n_fetches"), F.count_if(F.col("body").isNull()).alias("n_failed"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"), F.avg("seconds").alias("mean_seconds"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seconds")).alias("s"), "url"))), lambda x: F.struct((-x["s"]).alias("seconds"), x["url"].alias("url")))
+    one = F.lit(1).alias("k")
+    return agg.select("*", one).join(top.agg(listed.alias("slowest")).select("*", one), "k").drop("k")

@@ -45,7 +45,12 @@ def link_stream(stream: DataFrame, rules: Callable[[], DataFrame], settings: Set
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        link_batch(batch, rules(), settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # Scanned and rendered: read once.
+        batch.persist()
+        try:
+            link_batch(batch, rules(), settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 

@@ -10,7 +10,7 @@ from anchorloom.operators.control import RunControl
 from anchorloom.operators.posts import excluded_categories, linkable_posts
 from anchorloom.settings import Settings
 from anchorloom.sources import sitemaps as sm
-from anchorloom.sources.http import fetch_urls
+from anchorloom.sources.http import fetch_telemetry, fetch_urls
 from anchorloom.sources.snapshots import SnapshotStore
 from anchorloom.streaming.posts import RulesetCache, click_payload, click_windows, link_stream
 
@@ -138,6 +138,10 @@ def test_store(spark, tmp_path):
 def test_fetch(spark):
     out = fetch_urls(spark.createDataFrame([("a",), ("b",)], "url string"), lambda u: b"x" if u == "a" else None, 0)
     assert {r["url"]: r["body"] for r in out.collect()} == {"a": bytearray(b"x"), "b": None}
+    seen = spark.createDataFrame([(f"u{k}", b"x" if k % 2 else None, k / 2) for k in range(8)], "url string, body binary, seconds double")
+    t = fetch_telemetry(seen).first()
+    assert (t["n_fetches"], t["n_failed"], t["total_seconds"], [x["url"] for x in t["slowest"]]) == (8, 4, 14.0, ["u7", "u6", "u5", "u4", "u3"])
+    assert fetch_telemetry(seen.limit(0)).first()["slowest"] == []
 
 
 def test_streams(spark, tmp_path):
