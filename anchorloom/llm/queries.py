@@ -78,6 +78,11 @@ ORACLES = {
     "dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), "
     "ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)) "
     "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p7_near": "WITH d AS (" + _WORDS.format("doc_id", "text", "documents") + "), i AS (" + _WORDS.format("item_id", "item_text", "eval_items") + "), "
+    "dw AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d WHERE doc_id IS NOT NULL), iw AS (SELECT item_id, len(w) AS n, unnest(w) AS term, unnest(range(len(w))) AS p FROM i WHERE len(w) >= 12), "
+    "dg AS (SELECT DISTINCT doc_id, item_id, n, pos - p AS dg, list(DISTINCT p) AS ps FROM dw JOIN iw USING (term) GROUP BY ALL HAVING count(DISTINCT p) >= 9), "
+    "wn AS (SELECT doc_id, item_id, ps, unnest(range(n - 11)) AS s FROM dg) "
+    "SELECT doc_id, item_id, max(k)::INTEGER AS best_words FROM (SELECT doc_id, item_id, len(list_filter(ps, lambda p: p >= s AND p < s + 12)) AS k FROM wn) GROUP BY ALL HAVING max(k) >= 9",
     "p7_terms": "WITH d AS (" + _WORDS.format("doc_id", "text", "documents") + "), i AS (" + _WORDS.format("item_id", "item_text", "eval_items") + "), "
     "t AS (SELECT DISTINCT unnest(w) AS term FROM i WHERE len(w) >= 12) "
     "SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) JOIN t USING (term) GROUP BY term",

@@ -16,6 +16,7 @@ left to right, without any search through merges. Decoding emits the labels of t
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorloom.runtime import spread
@@ -165,16 +166,29 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def load_encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file; compiled once in each Python worker."""
+def load_encoder(path: str, data: bytes | None = None) -> Encoder:
+    """The encoder of a vocabulary file, or of its content; compiled once in each Python worker."""
     if path not in _ENCODERS:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(data if data is not None else Path(path).read_bytes())["model"]
         merges = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         _ENCODERS[path] = Encoder(TokenAutomaton(model["vocab"], merges))
     return _ENCODERS[path]
 
 
+#: Vocabularies sent to the workers, by session and content.
+_SENT: dict[tuple[str, str], object] = {}
+
+
+def _ship(spark: SparkSession, path: str) -> tuple[str, object]:
+    """(name, broadcast content) of a vocabulary file, which only the driver needs to have. Its
+    size is that of a vocabulary, a few megabytes."""
+    data = Path(path).read_bytes()
+    key = (spark.sparkContext.applicationId, hashlib.sha256(data).hexdigest())
+    if key not in _SENT:
+        _SENT[key] = spark.sparkContext.broadcast(data)
+    return key[1], _SENT[key]
+
+
 def vocabulary_path(folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> str:
     return os.fspath(Path(folder, name))
 
@@ -184,12 +198,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
 
     Null and empty texts have an empty array. Rows are kept one to one, also with null or
     repeated keys; other columns, whatever their names, are not read. Texts are encoded
-    whole. No shuffle: each task encodes its own rows in Arrow batches.
+    whole. Each task encodes its own rows in Arrow batches; only a table too small to have
+    a task for each core is spread first.
     """
-    path = path or vocabulary_path()
+    name, sent = _ship(docs.sparkSession, path or vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(path).encode
+        encode = load_encoder(name, sent.value).encode
         for batch in batches:
             flat: list[np.ndarray] = []
             offsets = np.zeros(batch.num_rows + 1, dtype=np.int32)
@@ -208,10 +223,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, text): the labels of the ids. An empty array gives the empty text, null stays null."""
-    path = path or vocabulary_path()
+    name, sent = _ship(encoded.sparkSession, path or vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load_encoder(path).automaton.decode
+        decode = load_encoder(name, sent.value).automaton.decode
         for batch in batches:
             texts = [None if ids is None else decode(ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
