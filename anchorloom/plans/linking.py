@@ -80,8 +80,8 @@ hits AS (SELECT doc_id, (i - 1)::INTEGER AS start, length(phrase)::INTEGER AS le
 SCANNED = POSTS + hits_sql("SELECT id AS doc_id, raw AS text FROM lp", "rs")
 
 
-def resolved_sql(per: int, total: int) -> str:
-    return SCANNED + f""",
+def resolved_sql(per: int, total: int, scanned: str = SCANNED) -> str:
+    return scanned + f""",
 cs AS (SELECT doc_id, list(struct_pack(l := -length, pr := coalesce(priority, 0), s := start, f := start + length, phrase := phrase, url := url) ORDER BY -length, coalesce(priority, 0), start) AS cands FROM hits JOIN rs USING (phrase) GROUP BY doc_id),
 go AS (SELECT doc_id, cands, 0::BIGINT AS k, []::STRUCT(s INTEGER, f INTEGER)[] AS claimed, []::STRUCT(s INTEGER, phrase VARCHAR, url VARCHAR)[] AS acc FROM cs
   UNION ALL
@@ -190,7 +190,7 @@ def render_html(c: Catalog) -> DataFrame:
 
 
 #: The same over the documents table: whole texts, all rows.
-@query()
+@query(resolved_sql(1, 0, RULES + hits_sql("SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL", "rs")) + "SELECT * FROM links")
 def document_links(c: Catalog) -> DataFrame:
     r = ruleset(c)
     nodes = render.plain_nodes(c.raw("documents").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id", "text")

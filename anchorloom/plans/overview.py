@@ -11,6 +11,8 @@ from anchorloom.plans.fixture import MAPPINGS, SETTINGS, VIEWS
 from anchorloom.plans.linking import RULES, _SAFE, every_rule, hits_sql
 from anchorloom.settings import TERM_STATES
 from anchorloom.sources.catalog import Catalog
+from anchorloom.sources.http import fetch_telemetry as telemetry
+from anchorloom.streaming.posts import click_payload
 
 QUERIES, ORACLES = {}, {}
 AS_OF = "2025-11-24 02:27:00"
@@ -245,19 +247,30 @@ def report_sample_entries(c: Catalog) -> DataFrame:
     return first_by(c.entries.where(active()).select("content_type", "id", "title"), "content_type", "id", 3).drop("rank")
 
 
-@query(
-    "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, max(value) AS slowest FROM events GROUP BY ALL"
-)
+def fetched(c: Catalog) -> DataFrame:
+    """Events stand for fetches: their value for seconds, errors and purchases for failed ones."""
+    failed = F.col("event_type").isin("error", "purchase")
+    return c.raw("events").select(F.col("event_id").cast("string").alias("url"), F.when(~failed, F.lit(b"x")).alias("body"), F.col("value").alias("seconds"))
+
+
+_FETCHED = "WITH f AS (SELECT event_id::VARCHAR AS url, event_type IN ('error', 'purchase') AS failed, value AS seconds FROM events) "
+
+
+@query(_FETCHED + "SELECT count(*) AS n_fetches, count(*) FILTER (failed) AS n_failed, round(sum(seconds), 2) AS total_seconds, round(avg(seconds), 4) AS mean_seconds FROM f")
 def fetch_telemetry(c: Catalog) -> DataFrame:
-    """Events stand for fetches, their value for seconds."""
-    return c.raw("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("slowest"))
+    return telemetry(fetched(c)).select("n_fetches", "n_failed", F.round("total_seconds", 2).alias("total_seconds"), F.round("mean_seconds", 4).alias("mean_seconds"))
 
 
-@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5")
+@query(_FETCHED + "SELECT url, seconds FROM f ORDER BY seconds DESC, url LIMIT 5")
 def slowest_fetches(c: Catalog) -> DataFrame:
-    return c.raw("events").orderBy(F.desc("value"), "event_id").limit(5).select("event_id", "value")
+    return telemetry(fetched(c)).select(F.explode("slowest").alias("x")).select("x.url", "x.seconds")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS clicks, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+@query("SELECT event_type AS link_type, 'x' || user_id AS matched_term, CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR ELSE '77' END AS topic_id, count(*) AS clicks FROM events GROUP BY ALL")
 def click_events(c: Catalog) -> DataFrame:
-    return c.raw("events").groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("clicks"), F.countDistinct("user_id").alias("users"))
+    """Clicks as pages report them; half of them name no topic, which the address then gives."""
+    even = F.col("event_id") % 2 == 0
+    payload = F.to_json(F.struct(F.col("event_type").alias("link_type"), F.concat(F.lit("x"), F.col("user_id").cast("string")).alias("matched_term"), F.when(even, F.col("user_id").cast("string")).alias("topic_id")))
+    clicks = click_payload(c.raw("events").select(payload.alias("payload"), F.lit("https://forum.example/t/some-title/77").alias("url")))
+    return clicks.groupBy("link_type", "matched_term", "topic_id").agg(F.count(F.lit(1)).alias("clicks"))
+

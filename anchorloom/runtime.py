@@ -59,6 +59,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if size < cores * SMALL_BYTES_A_CORE else df
 
 
+#: Folders of workspaces that were not cleared.
+_OPEN: list[str] = []
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete the written tables of all runs of this driver, once their results are saved."""
+    for root in list(_OPEN):
+        _delete(spark, root)
+    _OPEN.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Workspace:
     """Written tables of one run. Each cuts the lineage: what follows reads files
     that outlive any executor, and is not computed again."""
@@ -66,6 +82,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _OPEN.append(self.root)
         self._n = 0
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -80,12 +97,9 @@ class Workspace:
         """Delete a written table that nothing reads any more."""
         path = getattr(df, "_anchorloom_path", None)
         if path:
-            self._delete(path)
+            _delete(self.spark, path)
 
     def clear(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, self.root)
+        if self.root in _OPEN:
+            _OPEN.remove(self.root)
