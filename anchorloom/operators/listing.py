@@ -17,6 +17,10 @@ def page_of(df: DataFrame, order: list, page: int, per_page: int = PER_PAGE) ->
     return df.orderBy(*order).offset(page * per_page).limit(per_page)
 
 
+def page_count(total: int, per_page: int = PER_PAGE) -> int:
+    return -(-total // per_page)
+
+
 def entries_in_sitemap(entries: DataFrame, memberships: DataFrame, sitemaps: DataFrame, url: str | None = None) -> DataFrame:
     s = sitemaps if url is None else sitemaps.where(F.col("url") == url)
     m = memberships.join(s.select(F.col("id").alias("sitemap_id")), "sitemap_id", "left_semi")

@@ -66,6 +66,55 @@ def detach(memberships: DataFrame, entries: DataFrame, sitemap_ids: DataFrame) -
     return hit.join(rest, "entry_id", "left_anti").join(own, "entry_id", "left_semi")
 
 
+def update_entry(entries: DataFrame, entry_id: int, changes: dict) -> DataFrame:
+    """All entries, with the given fields of one changed: enabled, priority (null takes it away), url
+    and title, of which blank ones are left as they are. A url that another entry has, an
+    unknown field and an unknown id are refused."""
+    if set(changes) - {"enabled", "priority", "url", "title"}:
+        raise ValueError(f"fields cannot be changed: {sorted(changes)}")
+    given = {k: v for k, v in changes.items() if k not in ("url", "title") or (v and v.strip())}
+    if "url" in given:
+        given["url"] = given["url"].strip().rstrip("/")
+        if not entries.where((F.col("url") == given["url"]) & (F.col("id") != entry_id)).isEmpty():
+            raise ValueError(f"url is taken: {given['url']}")
+    if entries.where(F.col("id") == entry_id).isEmpty():
+        raise ValueError(f"no such entry: {entry_id}")
+    types = {f.name: f.dataType for f in entries.schema.fields}
+    return entries.withColumns({k: F.when(F.col("id") == entry_id, F.lit(v).cast(types[k])).otherwise(F.col(k)) for k, v in given.items()})
+
+
+def update_term(terms: DataFrame, term_id: int, state: str | None = None, phrase: str | None = None) -> DataFrame:
+    """All terms, with state or phrase of one changed; a new phrase is normalized anew."""
+    one = F.col("id") == term_id
+    out = terms if state is None else set_state(terms, one, state)
+    if phrase is not None and phrase.strip():
+        out = out.withColumn("phrase", F.when(one, F.lit(phrase)).otherwise(F.col("phrase")))
+        out = out.withColumn("normalized_phrase", F.when(one, normalize_text("phrase")).otherwise(F.col("normalized_phrase")))
+    return out
+
+
+def destroy_entry(entries: DataFrame, terms: DataFrame, memberships: DataFrame, entry_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without one entry that is gone; a live one is refused."""
+    if entries.where((F.col("id") == entry_id) & F.col("removed_from_source")).isEmpty():
+        raise ValueError(f"not an entry that is gone: {entry_id}")
+    return purge(entries, terms, memberships, F.col("id") == entry_id)
+
+
+def set_sitemap_status(sitemaps: DataFrame, memberships: DataFrame, entries: DataFrame, sitemap_id: int, status: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sitemaps, memberships, entries) after a change of status. One that is no longer enabled
+    loses its memberships, and entries that were listed only there are gone."""
+    if status not in SITEMAP_STATUSES:
+        raise ValueError(f"unknown status: {status}")
+    one = F.col("id") == sitemap_id
+    off = sitemaps.where(one & (F.col("status") == "enabled")).select(F.col("id").alias("sitemap_id"))
+    changed = sitemaps.withColumn("status", F.when(one, F.lit(status)).otherwise(F.col("status")))
+    if status == "enabled":
+        return changed, memberships, entries
+    lost = detach(memberships, entries, off).select(F.col("entry_id").alias("id"), F.lit(True).alias("lost"))
+    e = entries.join(lost, "id", "left").withColumn("removed_from_source", F.col("removed_from_source") | F.coalesce("lost", F.lit(False))).select(*entries.columns)
+    return changed, memberships.join(off, "sitemap_id", "left_anti"), e
+
+
 def integrity(entries: DataFrame, terms: DataFrame, sitemaps: DataFrame, memberships: DataFrame) -> DataFrame:
     """(check_name, n) of rows or keys that break a constraint; all checks, also with 0."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorloom.functions.filters import active, linkable, safe_url
+from anchorloom.functions.text import normalize_text
+from anchorloom.operators.listing import page_of
 from anchorloom.operators.rules import all_rules, compile_rules, linking_pairs
 from anchorloom.operators.scan import scan
 from anchorloom.settings import TERM_STATES, Settings
@@ -66,6 +68,20 @@ def collisions(candidates: DataFrame, include_inactive: bool = False) -> DataFra
     return g if include_inactive else g.where(F.col("n_linking") > 1)
 
 
+def collision_page(candidates: DataFrame, search: str = "", page: int = 0, include_inactive: bool = False) -> DataFrame:
+    """A page of ``collisions`` by phrase, of phrases that hold ``search`` (normalized)."""
+    g = collisions(candidates, include_inactive)
+    if search.strip():
+        g = g.where(F.contains("phrase", normalize_text(F.lit(search))))
+    return page_of(g, ["phrase"], page)
+
+
+def collision_totals(candidates: DataFrame) -> DataFrame:
+    """(competing, settled): phrases that several linking pages claim, and those with one at most."""
+    g = collisions(candidates, include_inactive=True)
+    return g.agg(F.count_if(F.col("n_linking") > 1).alias("competing"), F.count_if(F.col("n_linking") <= 1).alias("settled"))
+
+
 def resolve_collision(terms: DataFrame, entries: DataFrame, wishes: DataFrame) -> DataFrame:
     """Terms after giving phrases to entries: ``wishes`` (phrase, entry_id). The wished claim is
     approved, all others to the phrase are disabled; wishes of entries that do not claim
@@ -123,6 +139,27 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return g.where(F.col("live")).select("phrase", "n_covering")
 
 
+def overlap_page(pairs: DataFrame, search: str = "", page: int = 0, include_inactive: bool = False) -> DataFrame:
+    """A page of (phrase, n_covering) by phrase. ``search`` is looked for in both phrases of a pair;
+    ``include_inactive`` lists phrases that do not link and pairs with one destination, too."""
+    p = pairs.where(F.contains("phrase", normalize_text(F.lit(search))) | F.contains("covered_by", normalize_text(F.lit(search)))) if search.strip() else pairs
+    g = p.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_covering")) if include_inactive else overlaps(p)
+    return page_of(g, ["phrase"], page)
+
+
+def overlap_totals(pairs: DataFrame) -> DataFrame:
+    """(active, settled, same_destination): phrases listed by default, phrases with another
+    destination that are not, and pairs that lead to one destination."""
+    g = pairs.groupBy("phrase").agg(F.max(~F.col("same_destination")).alias("other"), F.max(~F.col("same_destination") & F.col("live")).alias("active"), F.count_if("same_destination").alias("same"))
+    return g.agg(F.count_if("active").alias("active"), F.count_if(F.col("other") & ~F.col("active")).alias("settled"), F.coalesce(F.sum("same"), F.lit(0)).alias("same_destination"))
+
+
+def last_run(runs: DataFrame) -> DataFrame:
+    """The run that started last, ties to the greater id; no row if there is none."""
+    one = runs.agg(F.max(F.struct("started_at", "id", *[c for c in runs.columns if c not in ("started_at", "id")])).alias("r"))
+    return one.where(F.col("r").isNotNull()).select("r.*")
+
+
 def state_counts(terms: DataFrame) -> DataFrame:
     """(state, n) over all states, zero where there are none."""
     states = terms.sparkSession.createDataFrame([(s,) for s in TERM_STATES], "state string")

@@ -55,6 +55,19 @@ def collisions(c: Catalog) -> DataFrame:
     return reports.collisions(collision_candidates(c))
 
 
+_ALL = CLAIMS + ", g AS (SELECT phrase, count(DISTINCT entry_id) AS n_candidates, count(DISTINCT entry_id) FILTER (linking) AS n_linking, max(url) FILTER (linking AND url = win_url) AS winner_url FROM cl JOIN dup USING (phrase) GROUP BY phrase) "
+
+
+@query(_ALL + "SELECT * FROM g WHERE contains(phrase, 'saw') ORDER BY phrase LIMIT 50")
+def collisions_searched(c: Catalog) -> DataFrame:
+    return reports.collision_page(collision_candidates(c), "Saw", include_inactive=True)
+
+
+@query(_ALL + "SELECT count(*) FILTER (n_linking > 1) AS competing, count(*) FILTER (n_linking <= 1) AS settled FROM g")
+def collision_totals(c: Catalog) -> DataFrame:
+    return reports.collision_totals(collision_candidates(c))
+
+
 @query(
     CLAIMS + ", w AS (SELECT phrase, max(entry_id) AS wished FROM cl JOIN dup USING (phrase) GROUP BY phrase), x AS (SELECT t.id AS term_id, t.state, CASE WHEN w.wished IS NULL THEN t.state WHEN w.wished = t.entry_id THEN 'approved' ELSE 'disabled' END AS new_state "
     "FROM t LEFT JOIN w ON w.phrase = t.normalized_phrase) SELECT term_id, new_state, new_state <> state AS changed FROM x"
@@ -99,6 +112,24 @@ def overlaps(c: Catalog) -> DataFrame:
     return reports.overlaps(overlap_pairs(c))
 
 
+@query(_PAIRS + "SELECT phrase, count(*) AS n_covering FROM pr WHERE contains(phrase, 'gauge') OR contains(covered_by, 'gauge') GROUP BY phrase ORDER BY phrase LIMIT 50")
+def overlaps_searched(c: Catalog) -> DataFrame:
+    return reports.overlap_page(overlap_pairs(c), "Gauge", include_inactive=True)
+
+
+@query(
+    _PAIRS + ", g AS (SELECT phrase, bool_or(NOT same_destination) AS other, bool_or(NOT same_destination AND live) AS active, count(*) FILTER (same_destination) AS same FROM pr GROUP BY phrase) "
+    "SELECT count(*) FILTER (active) AS active, count(*) FILTER (other AND NOT active) AS settled, coalesce(sum(same), 0)::BIGINT AS same_destination FROM g"
+)
+def overlap_totals(c: Catalog) -> DataFrame:
+    return reports.overlap_totals(overlap_pairs(c))
+
+
+@query("SELECT id, started_at, success, urls_seen FROM sitemap_autolink_sync_runs ORDER BY started_at DESC, id DESC LIMIT 1")
+def last_run(c: Catalog) -> DataFrame:
+    return reports.last_run(c.runs).select("id", "started_at", "success", "urls_seen")
+
+
 @query(RULES + ", f AS (SELECT t.state FROM t JOIN e ON e.id = t.entry_id WHERE e.enabled AND NOT e.removed_from_source) SELECT x.state, (SELECT count(*) FROM f WHERE f.state = x.state) AS n FROM (VALUES ('auto_active'), ('pending_review'), ('approved'), ('disabled')) AS x(state)")
 def state_counts(c: Catalog) -> DataFrame:
     return reports.state_counts(listing.list_terms(c.terms, c.entries, state_of_page="live"))

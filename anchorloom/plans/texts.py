@@ -185,6 +185,17 @@ def sitemap_expand(c: Catalog) -> DataFrame:
     return sm.expand(src, sitemap_docs(c), c.sitemaps)
 
 
+@query(
+    PARSED + ", whole AS (SELECT url, xml LIKE '<sitemapindex%' AS idx FROM docs WHERE xml LIKE '%</urlset>' OR xml LIKE '%</sitemapindex>'), src AS (SELECT DISTINCT url FROM s), "
+    "ks AS (SELECT p.url AS source, p.loc AS child, row_number() OVER (PARTITION BY p.url ORDER BY p.position) AS k, count(*) OVER (PARTITION BY p.url) AS n FROM parsed p JOIN whole w ON w.url = p.url AND w.idx JOIN src ON src.url = p.url) "
+    "SELECT DISTINCT source, child, NULL::BIGINT AS n_children FROM ks WHERE k <= 100 AND child IN (SELECT url FROM s WHERE status = 'enabled') AND child NOT IN (SELECT url FROM whole) "
+    "UNION ALL SELECT DISTINCT source, NULL, n FROM ks WHERE n > 100"
+)
+def sync_unread(c: Catalog) -> DataFrame:
+    """What a pass over all sitemaps could not read, so that it removes nothing."""
+    return sm.unread(c.sitemaps.select("url").distinct(), sitemap_docs(c), c.sitemaps)
+
+
 @query(
     PARSED + "SELECT d.url, CASE WHEN xml LIKE '<sitemapindex%' THEN 'index' ELSE 'urlset' END AS kind, (SELECT count(*) FROM parsed p WHERE p.url = d.url) AS url_count, "
     "NOT (xml LIKE '%</urlset>' OR xml LIKE '%</sitemapindex>') AS url_count_partial FROM docs d"

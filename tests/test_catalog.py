@@ -223,3 +223,24 @@ def test_suffixes_without_end(spark):
 
     df = spark.createDataFrame([("Bow Saw" + " | A" * 120,), ("Bow Saw",), ("| A",)], "t string")
     assert [r[0] for r in df.select(clean_title("t", ("| A",))).collect()] == ["Bow Saw", "Bow Saw", None]
+
+
+def test_updates(spark):
+    e = spark.createDataFrame([(1, "https://a", "A", None, True, False, "sitemap"), (2, "https://b", "B", 3, True, False, "sitemap"), (3, "https://c", "C", None, True, True, "sitemap")], "id bigint, url string, title string, priority int, enabled boolean, removed_from_source boolean, source string")
+    got = {r["id"]: r for r in mutations.update_entry(e, 2, {"enabled": False, "priority": None, "title": "New", "url": " "}).collect()}
+    assert (got[2]["enabled"], got[2]["priority"], got[2]["title"], got[2]["url"], got[1]["title"]) == (False, None, "New", "https://b", "A")
+    for bad in ((2, {"url": "https://a/"}), (9, {"title": "x"}), (1, {"id": 5})):
+        with pytest.raises(ValueError):
+            mutations.update_entry(e, *bad)
+    t = spark.createDataFrame([(1, 1, "Bow Saw", "bow saw", "pending_review"), (2, 3, "X", "x", "approved")], "id bigint, entry_id bigint, phrase string, normalized_phrase string, state string")
+    one = {r["id"]: r for r in mutations.update_term(t, 1, "approved", "Foreman’s Saw").collect()}
+    assert (one[1]["state"], one[1]["normalized_phrase"], one[2]["phrase"]) == ("approved", "foreman's saw", "X")
+    m = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 10)], "entry_id bigint, sitemap_id bigint")
+    left = [df.count() for df in mutations.destroy_entry(e, t, m, 3)]
+    assert left == [2, 1, 3]
+    with pytest.raises(ValueError):
+        mutations.destroy_entry(e, t, m, 1)
+    s = spark.createDataFrame([(10, "enabled"), (11, "enabled")], "id bigint, status string")
+    s2, m2, e2 = mutations.set_sitemap_status(s, m, e, 10, "ignored")
+    assert {r["id"] for r in e2.where("removed_from_source").collect()} == {1, 3} and m2.count() == 1 and s2.where("status = 'ignored'").count() == 1
+    assert mutations.set_sitemap_status(s, m, e, 10, "enabled")[1].count() == 4
