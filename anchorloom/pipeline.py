@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anchorloom.functions.text import to_utf8
 from anchorloom.operators import rebake, rules, sync
 from anchorloom.operators.control import RunControl
 from anchorloom.operators.phrases import generate_terms
@@ -19,6 +21,7 @@ from anchorloom.operators.scan import scan
 from anchorloom.runtime import Workspace
 from anchorloom.settings import Settings
 from anchorloom.sources import sitemaps as sm
+from anchorloom.sources.http import PAGE_BYTES, SITEMAP_BYTES, fetch_telemetry, fetch_urls, http_get
 from anchorloom.sources.snapshots import SnapshotStore
 
 ENTRY = "id bigint, url string, title string, content_type string, source string, title_source string, priority int, enabled boolean, auto_discovered boolean, removed_from_source boolean, lastmod string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, title_fetch_failures int, next_title_fetch_at timestamp_ntz"
@@ -39,6 +42,35 @@ class SyncReport:
     notes: list[str] = field(default_factory=list)
 
 
+class Fetcher:
+    """Fetches what a pass needs, each address once: results are written, so that nothing that
+    reads them fetches again. ``get`` gives the body of an address, or null."""
+
+    def __init__(self, spark: SparkSession, get: Callable[[str], bytes | None] | None = None, delay_seconds: float = 0.5):
+        self.spark, self.get, self.delay, self.work, self.fetched = spark, get, delay_seconds, Workspace(spark, "fetched"), []
+
+    def _fetch(self, urls: DataFrame, max_bytes: int, stop: bytes) -> DataFrame:
+        get = self.get or (lambda u: http_get(u, max_bytes, stop=stop))
+        got = self.work.write(fetch_urls(urls.distinct(), get, self.delay), "fetched")
+        self.fetched.append(got)
+        return got.select("url", to_utf8("body").alias("text"))
+
+    def documents(self, sources: list[tuple[str, str]], sitemaps: DataFrame) -> DataFrame:
+        """(url, xml) of the sources and of the enabled children of those that are indexes."""
+        src = self.spark.createDataFrame([(u,) for u, _ in sources], "url string")
+        docs = self._fetch(src, SITEMAP_BYTES, b"").withColumnRenamed("text", "xml")
+        kids = self._fetch(sm.enabled_children(src, docs, sitemaps).join(src, "url", "left_anti"), SITEMAP_BYTES, b"").withColumnRenamed("text", "xml")
+        return docs.unionByName(kids)
+
+    def pages(self, urls: DataFrame) -> DataFrame:
+        """(url, html) of pages, up to the end of their titles."""
+        return self._fetch(urls, PAGE_BYTES, b"</title>").withColumnRenamed("text", "html")
+
+    def telemetry(self) -> DataFrame | None:
+        """Counts, times and the slowest of all fetches so far."""
+        return fetch_telemetry(reduce(DataFrame.unionByName, self.fetched)) if self.fetched else None
+
+
 def empty_catalog(spark: SparkSession) -> dict[str, DataFrame]:
     return {"entries": spark.createDataFrame([], ENTRY), "terms": spark.createDataFrame([], TERM), "memberships": spark.createDataFrame([], MEMBER), "changes": spark.createDataFrame([], "url string, entry_id bigint, change string")}
 
@@ -56,7 +88,8 @@ def sync_catalog(spark: SparkSession, store: SnapshotStore, sources: list[tuple[
 def sync_pass(spark: SparkSession, store: SnapshotStore, sources: list[tuple[str, str]], docs: DataFrame, web: DataFrame, sitemaps: DataFrame, settings: Settings, now: datetime, partial: bool = False, stopped: Callable[[], bool] = lambda: False) -> SyncReport:
     """One pass: list, admit, compare, fetch titles, generate phrases, sweep, commit.
 
-    ``docs`` (url, xml) and ``web`` (url, html) are what was fetched; ``sitemaps`` (url, status)
+    ``docs`` (url, xml) and ``web`` (url, html) are what was fetched; ``web`` may be a function that
+    fetches the pages of (url) that are due, as ``Fetcher.pages`` does; ``sitemaps`` (url, status)
     says which children of indexes are read. The new tables become the store's next version.
     Without sources, with a source or an enabled child that cannot be read in full, with an
     index of more children than are read, or after a partial pass
@@ -87,7 +120,8 @@ def sync_pass(spark: SparkSession, store: SnapshotStore, sources: list[tuple[str
 
     plan = sync.refetch_plan(admitted, old["entries"], at)
     due = plan.where(F.col("decision") == "refetch").select("url").unionByName(change.where(F.col("change") == "added").select("url"))
-    titles = work.write(sync.resolve_titles(sm.fetch_pages(due, web), settings), "titles")
+    pages = web(due) if callable(web) else web
+    titles = work.write(sync.resolve_titles(sm.fetch_pages(due, pages), settings), "titles")
     if stopped():
         clean, notes = False, [*notes, "stopped before the end"]
     outcome = sync.refetch_outcome(plan, titles, old["entries"])

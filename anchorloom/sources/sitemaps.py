@@ -45,6 +45,11 @@ def _enabled(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.where(F.col("status") == "enabled").select(strip("url").alias("url")).distinct()
 
 
+def enabled_children(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
+    """(url) of the children of indexes that a pass reads."""
+    return _children(sources, docs, cap).join(_enabled(sitemaps), "url").select("url").distinct()
+
+
 def unread(sources: DataFrame, docs: DataFrame, sitemaps: DataFrame, cap: int = CHILDREN_PER_INDEX) -> DataFrame:
     """(source, child, n_children): what ``expand`` left out. An enabled child that is missing or
     cut off has its url; an index with more than ``cap`` children has a row with a null child."""

@@ -110,6 +110,26 @@ def test_cli(spark, capsys):
     assert "auto_active" in capsys.readouterr().out
 
 
+def test_cli_sync(spark, tmp_path, capsys):
+    """A pass that fetches: sources, their enabled children, then the pages that are due."""
+    from anchorloom.cli import sync
+
+    web = {
+        "https://a/i.xml": "<sitemapindex><sitemap><loc>https://a/k.xml</loc></sitemap><sitemap><loc>https://a/off.xml</loc></sitemap></sitemapindex>",
+        "https://a/k.xml": urlset(("https://a/x", "1"), ("https://a/y-page", "1")), "https://a/x": "<title>Caf&#xe9; Widget</title>",
+    }
+    store = SnapshotStore(spark, str(tmp_path / "cat"))
+    get = lambda u: web[u].encode() if u in web else None
+    r = sync(store, [("https://a/i.xml", "wiki")], ["https://a/k.xml"], get, 0)
+    assert r.clean and r.counts["added"] == 2
+    assert {e["url"]: e["title"] for e in store.read("entries").collect()} == {"https://a/x": "Café Widget", "https://a/y-page": "Y Page"}
+    assert "n_fetches" in capsys.readouterr().out
+    # An enabled child that does not answer: nothing is removed.
+    del web["https://a/k.xml"]
+    r = sync(store, [("https://a/i.xml", "wiki")], ["https://a/k.xml"], get, 0)
+    assert not r.clean and r.counts["removed"] == 0
+
+
 def test_unread_children_keep_their_pages(spark, tmp_path):
     """Children beyond the cap and enabled ones that fail make a pass unclean: nothing is removed."""
     kid = lambda k: f"https://a/k{k}.xml"
